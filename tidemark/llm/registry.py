@@ -10,6 +10,7 @@ MODULES = {
     "op3_near_dedup": "near_dedup",
     "op4_mixing": "mixing",
     "op5_line_dedup": "line_dedup",
+    "op9_language_id": "language_id",
     "op10_substring_dedup": "substring_dedup",
 }
 
