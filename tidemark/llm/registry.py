@@ -10,6 +10,8 @@ MODULES = {
     "op3_near_dedup": "near_dedup",
     "op4_mixing": "mixing",
     "op5_line_dedup": "line_dedup",
+    "op7_pii": "pii",
+    "op8_chat_format": "chat_format",
     "op9_language_id": "language_id",
     "op10_substring_dedup": "substring_dedup",
 }
