@@ -7,6 +7,7 @@ import importlib
 #: Query name: module that holds query(spark, sf_dir), and ORACLE_SQL where there is one.
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_decontamination": "decontamination",
     "op3_near_dedup": "near_dedup",
     "op4_mixing": "mixing",
     "op5_line_dedup": "line_dedup",
