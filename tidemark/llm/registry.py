@@ -11,6 +11,7 @@ MODULES = {
     "op3_near_dedup": "near_dedup",
     "op4_mixing": "mixing",
     "op5_line_dedup": "line_dedup",
+    "op6_lm_scoring": "lm_scoring",
     "op7_pii": "pii",
     "op8_chat_format": "chat_format",
     "op9_language_id": "language_id",
