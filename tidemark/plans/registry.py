@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stats",)
+MODULES = ("stats", "series")
 
 
 def _all() -> dict:
