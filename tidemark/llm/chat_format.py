@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import core
 
@@ -82,7 +83,7 @@ def render(role: str, text: str) -> str:
     raise ValueError("no escaping makes the round trip")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rendered(role: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([render(r or "", t or "") for r, t in zip(role, text, strict=True)], dtype=object)
 

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import core
 
@@ -129,7 +130,7 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return out.where(f"kind = {DROP}").unionByName(late).select("did", "tag", "pos", "lines")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bitmap(at: pd.Series, lines: pd.Series) -> pd.Series:
     def one(p, n):
         keep = np.ones(n, bool)
@@ -146,7 +147,7 @@ def bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return by.select("did", "tag", "lines", F.size("p").alias("dropped"), _bitmap("p", "lines").alias("bitmap"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _keep(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     def one(t, b):
         if b is None:
