@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stats", "series")
+MODULES = ("stats", "series", "calendar", "text", "geo")
 
 
 def _all() -> dict:
