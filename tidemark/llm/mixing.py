@@ -9,7 +9,7 @@ Documents then get whole repetitions and, in a seeded order, a fractional one: t
 Plan: one scan with a map-side combined sum per (source, bin), windows over a table of sources, and one scan of the
 documents joined with the plan per source (broadcast up to MAX_BROADCAST sources, shuffled beyond). No text is shuffled.
 
-Cases: null or empty texts have size 0 and are taken 0 times. A null source is a source of its own, last. Repeated rows each count.
+Cases: null or empty texts have size 0 and aren't in the mix. A null source is a source of its own, last. Repeated rows each count.
 A null doc_id hashes as the text 'null'. An empty table gives an empty result. Extra columns don't matter.
 """
 
@@ -86,7 +86,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     of = {n: F.col(f"c{own.index(n)}") for n in ("doc_id", "source", "text")}
     d = mixed(plain.withColumns(of))
     n = F.col("mix.copies") + F.when(F.col("mix.part") > 0, F.lit(1)).otherwise(F.lit(0))
-    d = d.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    d = d.where((n > 0) & (F.col("mix.size") > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
     cut = F.col("_copy") > F.col("mix.copies")
     text = F.when(cut, F.concat_ws(" ", F.slice(core.words(of["text"]), F.lit(1), F.col("mix.part").cast("int")))).otherwise(of["text"])
     taken = F.when(cut, F.col("mix.part")).otherwise(F.col("mix.size"))
