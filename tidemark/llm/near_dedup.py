@@ -3,17 +3,22 @@ hash the register keeps the count of leading zeros (6 bits) and the mantissa aft
 
 1. Rows with the same shingle set form a class (128-bit fingerprint), which the least doc_id represents. All below is about
    representatives, so exact copies are never paired.
-2. Empty buckets borrow the register of another in a fixed random order; 32 bands of 4 registers (64 bits) are the keys.
-3. Star round: in each band bucket all members are paired with the least. The Jaccard estimate of the registers, less the share expected to
-   collide by chance, drops what is far below the threshold; what is left is confirmed on full shingle sets.
-4. Rest round: buckets without that least member whose others are still in different components; all that aren't in the
-   bucket's largest component are paired with all that are in another. Together the rounds test each pair that shares a
-   bucket, but for pairs that are known to be in one component. Nothing is capped.
+2. Empty buckets borrow the register of another in a fixed random order; 32 bands of 4 registers (64 bits), half of all, are the keys.
+3. First round: in each band bucket all members are paired with the least, and with their neighbours in the order of the bands that follow.
+   The Jaccard estimate of the registers, less the share expected to collide by chance, drops what is far below the threshold; what is
+   left is confirmed on full shingle sets.
+4. Pivot rounds, over buckets (without their least member) whose members aren't in one component yet: some PIVOTS of the members
+   outside the bucket's largest component are paired with all members of other components, and leave the bucket afterwards. The
+   join itself drops pairs whose sizes or lowest register bits rule a link out, so that documents with a common passage and little
+   else make few rows. What a pivot links no longer needs pairs of its own; the number of pivots grows sixteenfold a
+   round, so that members without any links end as well. In the end each pair that shares a bucket was tested, ruled out
+   or is known to be in one component. Nothing is capped.
 5. Connected components over confirmed links (graph.py).
 
 A pair at the threshold of 0.75 shares a band with probability 1 - (1 - 0.75^4)^32 = 0.999995. The estimate's standard
-deviation there is 0.04; pairs are dropped 0.25 below the threshold.
-Texts, not sets, travel to the verification: they are smaller. Only those of candidate pairs do.
+deviation there is 0.027; pairs are dropped 0.15 below the threshold, and in the pivots' join where the two lowest bits of fewer than
+LEAST_SAME registers agree (4.8 deviations below the mean at the threshold).
+Texts, not sets, travel to the verification: they are smaller. Only those of documents that share a bucket do.
 
 Cases: texts without words are linked with nothing. Fewer than five words are one shingle. Null doc_ids: a component_id is null if no
 member has an id. Rows that repeat a doc_id are judged by their own text. Empty tables give empty results.
@@ -28,16 +33,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import core, graph, text
 
 SHINGLE, PERCENT = 5, 75
-BUCKET_BITS, BAND = 7, 4
+BUCKET_BITS, BAND, BANDS = 8, 4, 32
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
-SLACK = 0.25
+SLACK = 0.15
+LEAST_SAME = 178
+_MARKS = [f"s{i}" for i in range(BUCKETS // 32)]
+PIVOTS, MORE = 64, 16
+#: Ids (8 bytes) up to which they are broadcast to pick texts; beyond, texts are shuffled.
+MAX_BROADCAST = 2_000_000
 _PROBE = np.argsort(np.random.Generator(np.random.PCG64(5)).random((BUCKETS, BUCKETS)), axis=1)
-FEATURES = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("bands", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), *[(c, pa.int64()) for c in _MARKS], ("bands", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -75,6 +86,12 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(r: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each register, 32 registers to a number."""
+    low = (r & np.uint16(3)).astype(np.uint8).reshape(-1, 4)
+    return (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).view(np.int64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         did, texts = b.column(0), b.column(1)
@@ -82,14 +99,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in sets], np.int64)
             f = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             g = np.array([text.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            bands = [registers(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([did.slice(i, len(sets)).cast(pa.int64()), pa.array(n), pa.array(f), pa.array(g), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
+            regs = [registers(s) if len(s) else np.zeros(0, np.uint16) for s in sets]
+            low = np.array([marks(r) if len(r) else np.zeros(len(_MARKS), np.int64) for r in regs], np.int64).reshape(-1, len(_MARKS))
+            bands = [r.view(np.int64) for r in regs]
+            yield pa.RecordBatch.from_arrays([did.slice(i, len(sets)).cast(pa.int64()), pa.array(n), pa.array(f), pa.array(g), *map(pa.array, low.T), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(did, n, f, g, bands): size and fingerprint of the shingle set, and its registers, four to a number."""
+    """(did, n, f, g, s0.., bands): size and fingerprint of the shingle set, the two lowest bits of all registers, and the registers, four to a number."""
     d = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
-    return d.mapInArrow(_features, "did long, n long, f long, g long, bands array<long>")
+    return d.mapInArrow(_features, f"did long, n long, f long, g long, {' long, '.join(_MARKS)} long, bands array<long>")
 
 
 def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -102,7 +121,7 @@ def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (px * py).sum(axis=1) / (1 << MANTISSA)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def estimate(a, b, n, m):  # noqa: ANN001, ANN201
     """Jaccard estimate from two rows' registers, corrected for chance collisions."""
     import pandas as pd
@@ -129,14 +148,19 @@ def _verify(percent: int):
     return run
 
 
+def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of table whose rep is among ids."""
+    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return table.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) that are links: by the registers' estimate first, then on full sets."""
     r = reps.select("rep", "n", "bands")
     p = pairs.join(r.toDF("u", "nu", "bu"), "u").join(r.toDF("v", "nv", "bv"), "v")
     p = p.where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (estimate("bu", "bv", "nu", "nv") >= percent / 100 - SLACK)).select("u", "v")
     p = core.stash(p, "likely")
-    ids = p.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    t = core.stash(texts.join(ids, "rep", "left_semi"), "likely_texts")
+    t = _of(texts, p.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     both = p.join(t.toDF("u", "tu"), "u").join(t.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
     return core.stash(both.mapInArrow(_verify(percent), "u long, v long"), "links")
 
@@ -144,34 +168,80 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int)
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: did, n_shingles, component (the least did reachable)."""
     feats = core.stash(features(docs), "features")
-    some = feats.where("n > 0")
-    reps = core.stash(some.groupBy("f", "g", "n").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")), "classes")
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    classes = core.stash(feats.where("n > 0").groupBy("f", "g", "n").agg(F.min("did").alias("rep"), *[F.first(c).alias(c) for c in (*_MARKS, "bands")]), "classes")
+    keys = classes.select("rep", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key"), "bands")
+    after = [F.get("bands", F.pmod(F.col("band") + i, F.lit(BANDS))).alias(f"k{i}") for i in (1, 2, 3)]
+    keys = keys.select("rep", "band", "key", *after)
     many = keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
     members = core.stash(keys.join(many, ["band", "key"]), "members")
+    ids = core.stash(members.select("rep").distinct(), "member_ids")
     texts = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("rep"), "text")
-    star = members.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    links = confirmed(star, reps, texts, percent)
+    texts, reps = core.stash(_of(texts, ids), "member_texts"), core.stash(_of(classes.select("rep", "n", *_MARKS, "bands"), ids), "member_registers")
+    star = members.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    links = confirmed(star.unionByName(neighbours(members)).distinct(), reps, texts, percent)
     comp = core.stash(graph.components(links), "components")
-    rest = rest_pairs(members, comp)
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, reps, texts, percent))
-        comp = core.stash(graph.components(links), "components")
-    named = reps.select("f", "g", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
+    small = reps.select("rep", "n", *_MARKS)
+    left, pivots = members.where("size > 2 and rep != least").select("band", "key", "rep"), PIVOTS
+    while True:
+        left, pairs, done = pivot_round(left, comp, small, pivots, percent)
+        if done:
+            break
+        links = confirmed(pairs, reps, texts, percent)
+        if not links.isEmpty():
+            old = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comp = core.stash(graph.components(old.unionByName(links)), "components")
+        pivots *= MORE
+    named = classes.select("f", "g", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
     return feats.select("did", "n", "f", "g").join(named, ["f", "g", "n"], "left").select("did", F.col("n").alias("n_shingles"), F.coalesce("component", "did").alias("component"))
 
 
-def rest_pairs(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs within buckets that the star round left untested and that aren't known to be in one component."""
-    m = members.where("size > 2 and rep != least").select("band", "key", "rep")
-    m = m.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("c"))
-    per = m.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
-    bulk = per.groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("x.c").alias("bulk"))
-    m = core.stash(m.join(bulk, ["band", "key"]), "open_buckets")
-    few = m.where("c != bulk").select("band", "key", F.col("rep").alias("u"), F.col("c").alias("cu"))
-    both = few.join(m.select("band", "key", F.col("rep").alias("v"), F.col("c").alias("cv")), ["band", "key"]).where("cu != cv")
-    rest = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return core.stash(rest, "rest_pairs")
+def _next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted rows (band, key, rep): consecutive members of a bucket as pairs."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        band, key, rep = (np.asarray(b.column(i)) for i in range(3))
+        if last is not None:
+            band, key, rep = (np.concatenate([x[None].astype(y.dtype), y]) for x, y in zip(last, (band, key, rep), strict=True))
+        last = band[-1], key[-1], rep[-1]
+        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (rep[1:] != rep[:-1])
+        u, v = np.maximum(rep[1:], rep[:-1])[same], np.minimum(rep[1:], rep[:-1])[same]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """Pairs of members next to each other in their bucket's order by the bands that follow: likely the most similar, so
+    that copies of copies link in the first round. Ranges are cut within buckets too; pairs across a cut aren't needed."""
+    d = members.where("size > 2").select("band", "key", "rep", "k1", "k2", "k3")
+    d = d.repartitionByRange(core.parts(members.sparkSession), "band", "key", "k1", "k2").sortWithinPartitions("band", "key", "k1", "k2", "k3", "rep")
+    return d.select("band", "key", "rep").mapInArrow(_next_to, "u long, v long")
+
+
+def pivot_round(left: DataFrame, comp: DataFrame, small: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """What stays of open buckets (band, key, rep) without this round's pivots, the pivots' pairs (u, v), and whether no
+    bucket was open."""
+    at = ["band", "key"]
+    m = left.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", F.coalesce("component", "rep").alias("c"))
+    per = m.groupBy(*at, "c").agg(F.count("*").alias("k"))
+    bulk = per.groupBy(*at).agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    bulk = bulk.select(*at, F.col("x.c").alias("bulk"), (F.col("all") - F.col("x.k")).alias("few"))
+    h = F.xxhash64("rep", F.lit(pivots))
+    m = core.stash(m.join(bulk, at).join(small, "rep").withColumn("h", F.when(F.col("c") != F.col("bulk"), h)), "open_buckets")
+    if m.isEmpty():
+        return left, left, True
+    first = m.groupBy(*at).agg(F.min("h").alias("first"))
+    each = F.greatest(F.lit(1), F.floor(F.col("few") / pivots)).cast("long")
+    chosen = m.where("h is not null").join(first, at).where((F.col("h") == F.col("first")) | (F.pmod(F.col("h"), each) == 0))
+    chosen = core.stash(chosen.select(*at, *[F.col(x).alias(f"p_{x}") for x in ("rep", "c", "n", *_MARKS)]), "pivots")
+    lanes = F.lit(0x5555555555555555)
+    x = [F.col(c).bitwiseXOR(F.col(f"p_{c}")) for c in _MARKS]
+    other = sum((F.bit_count(y.bitwiseOR(F.shiftright(y, 1)).bitwiseAND(lanes)) for y in x[1:]), F.bit_count(x[0].bitwiseOR(F.shiftright(x[0], 1)).bitwiseAND(lanes)))
+    may = (F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (other <= BUCKETS - LEAST_SAME)
+    pairs = m.join(chosen, at).where(may).select(F.greatest("rep", "p_rep").alias("u"), F.least("rep", "p_rep").alias("v")).distinct()
+    rest = m.select(*at, "rep").join(chosen.select(*at, F.col("p_rep").alias("rep")), [*at, "rep"], "left_anti")
+    return core.stash(rest, "left"), core.stash(pairs, "pivot_pairs"), False
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +251,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each component: the one with its least doc_id. Of repeated rows and of rows without words
-    all that carry that id stay; exact copies of one text under one id leave a single row."""
+    """docs with one document of each component: the one with its least doc_id. Of rows that repeat an id all stay or go."""
     found = near_duplicates(docs).where("did = component").select(F.col("did").alias("_did")).distinct()
     own = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
