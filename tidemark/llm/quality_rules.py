@@ -28,12 +28,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Tokens: runs of ASCII punctuation, or of anything else but white space.
-TOKEN = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+|[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+MARKS = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+)"
 
 
-def n_grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket numbers of all token unigrams and bigrams."""
-    return _pairs(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), buckets)
+def tokens(text: Column) -> Column:
+    return core.words(F.regexp_replace(text, MARKS, " $1 "))
 
 
 def _pairs(tokens: Column, buckets: int) -> Column:
@@ -48,7 +47,7 @@ def _pairs(tokens: Column, buckets: int) -> Column:
 def model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Log-likelihood ratio of each bucket in milli-nats: add-one smoothed target share over corpus share."""
     ids = F.broadcast(core.pick(trusted, "doc_id").where("doc_id is not null").distinct().withColumn("t", F.lit(1)))
-    grams = core.pick(docs, "doc_id", "text").join(ids, "doc_id", "left").select("t", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("k"))
+    grams = core.pick(docs, "doc_id", "text").join(ids, "doc_id", "left").select("t", tokens(F.col("text")).alias("k"))
     grams = grams.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(_pairs(F.col("k"), buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()  # `buckets` rows at most
     raw, target = [0] * buckets, [0] * buckets
@@ -66,7 +65,7 @@ def repeated_words(ws: Column) -> Column:
     wins = F.transform(F.slice(ws, F.lit(3), F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), w))
 
     def covered(wins: Column) -> Column:
-        both = F.array_sort(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        both = F.sort_array(F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
         same = lambda both: F.filter(both, lambda x, i: F.get(both, i - 1)["w"].eqNullSafe(x["w"]) | F.get(both, i + 1)["w"].eqNullSafe(x["w"]))
         at = F.sort_array(F.transform(core.let(both, same), lambda x: x["i"]))
         step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
@@ -76,47 +75,46 @@ def repeated_words(ws: Column) -> Column:
     return F.when(some, core.let(wins, lambda w: F.when(F.size(w) > F.size(F.array_distinct(w)), covered(w)).otherwise(F.lit(0)))).otherwise(F.lit(0)).cast("long")
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """The rules on each text itself; passes all columns on and adds the figures under the names of the contract,
-    in one struct column `rules`."""
-    d = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", core.words(F.col("_t")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_n", F.size("_w").cast("long")).withColumn("_l", lines).withColumn("_r", repeated_words(F.col("_w")))
-    bare = F.translate("_t", SPACES, "")
-    return d.withColumn(
-        "rules",
-        F.struct(
-            F.col("_n").alias("n_words"),
-            F.length(bare).cast("long").alias("word_chars"),
-            (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            F.col("_r").alias("n_repeat_words"),
-            ((F.col("_n") < MIN_WORDS) | (100 * F.col("_r") > MAX_REPEAT_PERCENT * F.col("_n"))).alias("base_failed"),
-        ),
-    ).drop("_t", "_w", "_l", "_n", "_r")
-
-
-def scored(docs: DataFrame, weights: list[int]) -> DataFrame:
-    """doc_id, text, the struct `rules`, n_grams, and llr: mean milli-nats per n-gram (null without n-grams)."""
+def base(text: Column) -> Column:
+    """The rules on a text itself: a struct of the contract's figures. Arrays are bound once (core.let): the optimizer may
+    move a column into a filter above or below, and would work out an array named in a lambda again for each element."""
+    text = F.coalesce(text, F.lit(""))
+    chars = F.length(F.translate(text, SPACES, "")).cast("long")
+    symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    dups = core.let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    counts = core.let(core.words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    failed = lambda c: (c["n"] < MIN_WORDS) | (100 * c["r"] > MAX_REPEAT_PERCENT * c["n"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return core.let(counts, lambda c: F.struct(*[x.alias(n) for n, x in zip(names, (c["n"], chars, symbols, dups, c["r"], failed(c)), strict=True)]))
+
+
+def score(text: Column, weights: list[int]) -> Column:
+    """Struct of n, the n-grams of a text, and total, the sum of their log-likelihood ratios in milli-nats."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded to one constant
-    d = base(core.pick(docs, "doc_id", "text"))
-    d = d.withColumn("_k", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
-    d = d.withColumn("_g", _pairs(F.col("_k"), len(weights)))
-    total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    return d.withColumn("n_grams", F.size("_g").cast("long")).withColumn("_s", total).withColumn("llr", F.col("_s") / F.nullif("n_grams", F.lit(0))).drop("_k", "_g", "_s")
+    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+    of = lambda g: F.struct(F.size(g).cast("long").alias("n"), total(g).alias("total"))
+    return core.let(tokens(F.coalesce(text, F.lit(""))), lambda k: core.let(_pairs(k, len(weights)), of))
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of trusted rows, `most` at most, by least hash: the bounded target sample."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """Ids of trusted rows: of the best quality and not toxic."""
     good = core.pick(labels, "doc_id", "quality", "toxic").where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id").distinct()
+
+
+def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
+    """Of these `most` at most, by least hash: the bounded target sample."""
+    return trusted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, most: int = MAX_TRUSTED) -> DataFrame:
-    """A row for each document with its figures, llr and verdict `kept`."""
-    d = scored(docs, model(docs, trusted_ids(labels, most), buckets))
-    kept = ~F.col("rules.base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return d.select("doc_id", "rules.*", (F.col("llr") / 1000).alias("llr"), kept.alias("kept"))
+    """A row for each document with its figures, llr (mean nats per n-gram, null without any) and verdict `kept`."""
+    weights = model(docs, trusted_ids(labels, most), buckets)
+    d = core.pick(docs, "doc_id", "text").select("doc_id", base(F.col("text")).alias("rules"), score(F.col("text"), weights).alias("s"))
+    llr = F.col("s.total") / F.nullif(F.col("s.n"), F.lit(0).cast("long"))
+    kept = ~F.col("rules.base_failed") & F.coalesce(llr >= threshold, F.lit(False))
+    return d.select("doc_id", "rules.*", (llr / 1000).alias("llr"), kept.alias("kept"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -125,12 +123,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     own = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
     text = F.col(f"c{own.index('text')}")
-    d = base(plain.withColumn("text", text))
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
-    d = d.where("not rules.base_failed").withColumn("_k", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
-    d = d.withColumn("_g", _pairs(F.col("_k"), len(weights)))
-    total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    return d.where(total >= THRESHOLD * F.size("_g")).select(*[F.col(f"c{i}") for i in range(len(own))]).toDF(*own)
+    sound = core.let(core.words(F.coalesce(text, F.lit(""))), lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= MAX_REPEAT_PERCENT * F.size(w)))
+    likely = core.let(score(text, weights), lambda s: (s["n"] > 0) & (s["total"] >= THRESHOLD * s["n"]))
+    return plain.where(sound & likely).toDF(*own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
