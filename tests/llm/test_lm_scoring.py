@@ -24,7 +24,7 @@ def brute(rows, trusted):
             twos[k].update(zip(w, w[1:]))
             n[k] += len(w)
     vocab = {w for w, c in ones[0].items() if c >= M.MIN_COUNT}
-    pairs = {p for p, c in twos[0].items() if c >= M.MIN_COUNT}
+    pairs = {p for p, c in twos[0].items() if c >= M.MIN_PAIRS}
     uni = [{w: (ones[k][w] + 1) / (n[k] + len(vocab) + 1) for w in vocab} for k in (0, 1)]
     unk = [(n[k] - sum(ones[k][w] for w in vocab) + 1) / (n[k] + len(vocab) + 1) for k in (0, 1)]
     bi = [{p: (twos[k][p] + M.KAPPA * uni[k][p[1]]) / (ones[k][p[0]] + M.KAPPA) for p in pairs} for k in (0, 1)]

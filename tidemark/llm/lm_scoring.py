@@ -1,8 +1,8 @@
 """Operator 6, cross-entropy difference of two matched n-gram models.
 
-Target model: trusted documents (a bounded labelled sample). Background model: the whole corpus. Both share one
-vocabulary, the words that the target has MIN_COUNT times or more (all else is one unknown word), and one set of bigrams, those of the
-target that often. With c the counts, N the tokens and V the vocabulary's size:
+Target model: all trusted documents. Background model: the whole corpus. Both share one vocabulary, the words that
+the target has MIN_COUNT times or more (all else is one unknown word), and one set of bigrams of such words, those that the target
+has MIN_PAIRS times or more. With c the counts, N the tokens and V the vocabulary's size:
   P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(v, w) + KAPPA P(w)) / (c(v) + KAPPA) for listed bigrams;
 other tokens score by P(w) in both models (the back-off factor, the same in both, cancels). A document's score is the mean over its
 tokens of target loss less background loss; the lower, the closer it is to the target.
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import core
-from tidemark.llm.quality_rules import MAX_TRUSTED, trusted_ids
+from tidemark.llm.quality_rules import trusted
 
-MIN_COUNT, KAPPA = 2, 8.0
+MIN_COUNT, MIN_PAIRS, KAPPA = 2, 5, 8.0
 #: Model rows (16 bytes of data each) up to which they are broadcast.
 MAX_BROADCAST = 3_000_000
 
@@ -50,11 +50,12 @@ def _keys(t: DataFrame) -> DataFrame:
     return t.select(F.explode(rows).alias("x")).select("x.*").where("key is not null")
 
 
-def model(docs: DataFrame, ids: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, int, int]:
+def model(docs: DataFrame, ids: DataFrame, min_count: int = MIN_COUNT, min_pairs: int = MIN_PAIRS) -> tuple[DataFrame, int, int]:
     """(key, loss): target less background loss of each listed n-gram in micro-nats; that of the unknown word; rows."""
     d = core.pick(docs, "doc_id", "text")
-    target = d.join(F.broadcast(ids), "doc_id", "left_semi")
-    listed = _keys(tokens(target)).groupBy("key").agg(F.count("*").alias("ct"), F.first("v").alias("v"), F.first("u").alias("u")).where(f"ct >= {min_count}")
+    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    target = d.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    listed = _keys(tokens(target)).groupBy("key").agg(F.count("*").alias("ct"), F.first("v").alias("v"), F.first("u").alias("u")).where(f"ct >= if(u is null, {min_count}, {max(min_count, min_pairs)})")
     listed = core.stash(listed, "target_counts")
     rows = listed.count()
     keys = listed.select("key")
@@ -84,10 +85,10 @@ def scores(docs: DataFrame, losses: DataFrame, unknown: int, rows: int) -> DataF
     return t.groupBy("did", "tag").agg(F.count("*").alias("n"), F.count("l2").alias("n2"), F.sum(F.coalesce("l2", "l1", F.lit(unknown))).alias("loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_tokens, n_listed (tokens that score as bigrams), score (nats per token, null
     without tokens)."""
-    losses, unknown, rows = model(docs, trusted_ids(labels, most))
+    losses, unknown, rows = model(docs, trusted(labels))
     s = scores(docs, losses, unknown, rows)
     d = core.pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"))
     # rows that are identical added up their tokens alike: the quotients stay
