@@ -167,7 +167,10 @@ def disclosures(docs: DataFrame) -> DataFrame:
     total = d.select("did").agg(F.count("*")).first()[0]
     ent = met.where("term is null").groupBy("entity").agg(F.countDistinct("did").alias("ne"))
     both = met.where("term is not null").distinct().groupBy("entity", "term").agg(F.count("*").alias("net")).where(f"net >= {MIN_TOGETHER}")
-    both = core.stash(both.join(ent, "entity"), "meeting_counts")
+    # a term's documents number at least those where it meets any entity: what can't reach the share is out, exactly
+    least = met.where("term is not null").select("did", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("net") * F.pow(F.lit(float(total)) / F.col("ne"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    both = core.stash(both.join(ent, "entity").join(least, "term").where(F.col("least") <= most).drop("least"), "meeting_counts")
     terms = both.select("term").distinct()
     few = terms.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     wanted = spark.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if few else None
