@@ -56,7 +56,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     than their own tasks and branches above share the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ with a smaller doc_id go.
 Pass 1 sketches, for each partition, in how many documents windows occur; the partition sketches are merged block by
 block. A window is sketched by its minimizer, the least hash of its 6-word parts: equal windows have equal minimizers, so
 the estimate is never below a window's count, and four times fewer keys fill the sketch. Only whether a count reaches 2
-matters, so merged counters shrink to a bit: two rows of `width` bits, where width follows the corpus (about 4 cells a
+matters, so merged counters shrink to a bit: two rows of `width` bits, where width follows the corpus (about 8 cells a
 key) up to MAX_WIDTH. Beyond, more windows pass the filter, which costs time and shuffle but changes no result.
 
 Pass 2 groups exactly, by 96-bit hashes, the windows estimated at 2 or more. Each task first combines its own: of a
@@ -25,15 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import core, text
 
 WINDOW, PART = 13, 6
 BLOCK = 1 << 16
 MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
-#: Cells a byte of text: 4 for each of some 0.22 minimizers a word of some 6 bytes.
-CELLS_PER_BYTE = 0.15
-FLUSH = 2_000_000
+#: Cells a byte of text: 8 for each of some 0.22 minimizers a word of some 6 bytes.
+CELLS_PER_BYTE = 0.3
+FLUSH = 1_000_000
 
 
 def _rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -198,7 +199,7 @@ def _repeats(width: int, bits):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bytes(pos):  # noqa: ANN001, ANN202
     import pandas as pd
 
@@ -219,7 +220,7 @@ def removals(docs: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     return both.groupBy("did", "tag").agg(F.collect_list("at").alias("at"))
 
 
-CUT = "n_words long, n_removed long, kept string"
+CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
 @F.pandas_udf(CUT)
