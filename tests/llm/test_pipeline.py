@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     rows += [(130, "too short", "en", "s0", 0), (131, None, None, None, None), (132, "a b c " * 100, "en", "s0", 0), (133, " ".join(w + "### $$$" for w in text(80).split()), "en", "s0", 0), (134, "", "en", "s0", 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, Extra string")
     df.write.parquet(str(d / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(133, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(130)] + [(133, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
     return str(d), df, rows
 
