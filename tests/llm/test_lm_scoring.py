@@ -62,3 +62,48 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted((r.doc_id, r.score) for r in M.cross_entropy_difference(df, labels).collect()) == [(1, 0.0), (2, None)]
     assert M.cross_entropy_difference(df.limit(0), labels).count() == 0
+
+
+def own_back_off(rows, trusted):
+    """Bigrams of the whole corpus, and for others each model's own back-off factor."""
+    ones, twos, n = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for d, t in rows:
+        w = toks(t)
+        for k in (0, 1) if d in trusted else (1,):
+            ones[k].update(w)
+            twos[k].update(zip(w, w[1:]))
+            n[k] += len(w)
+    vocab = {w for w, c in ones[0].items() if c >= M.MIN_COUNT}
+    pairs = {p for p, c in twos[1].items() if c >= 2 and set(p) <= vocab}
+
+    def p(k, v, w):
+        c = ones[k][w] if w in vocab else n[k] - sum(ones[k][x] for x in vocab)
+        one = (c + 1) / (n[k] + len(vocab) + 1)
+        return ((twos[k][v, w] if (v, w) in pairs else 0) + M.KAPPA * one) / (ones[k][v] + M.KAPPA) if v in vocab else one
+
+    out = []
+    for d, t in rows:
+        w = toks(t)
+        loss = [math.log(p(1, v, x)) - math.log(p(0, v, x)) for v, x in zip([None, *w], w)]
+        out.append((repr(d), len(w), sum(q in pairs for q in zip(w, w[1:])), sum(loss) / len(w) if w else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limit", [M.MAX_BROADCAST, 40, 0])
+def test_bigrams_of_the_whole_corpus(spark, limit, monkeypatch):
+    monkeypatch.setattr(M, "MAX_BROADCAST", limit)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    # ordinary words in an order that the target never has, and one that it has twice
+    rows += [(i, "ordinary words together") for i in (100, 101)] + [(i, "together ordinary 7 words Straße ÄÖ") for i in range(102, 110)] + [(None, "a b"), (111, None), (112, " "), rows[3], (3, "a z")]
+    trusted = {i for i in range(60) if i % 3 == 0} | {100, 101}
+    labels = spark.createDataFrame([(i, 1, 0) for i in sorted(trusted)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((repr(r.doc_id), r.n_tokens, r.n_listed, r.score) for r in M.matched_difference(df, labels).collect()), key=repr)
+    want = own_back_off(rows, trusted)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=3e-6)
+    score = {g[0]: g[3] for g in got}
+    assert score["102"] > score["100"]
+    none = labels.limit(0)
+    assert {r.score for r in M.matched_difference(df, none).collect()} == {0.0, None} and M.matched_difference(df.limit(0), none).count() == 0

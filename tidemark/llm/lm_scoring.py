@@ -1,16 +1,16 @@
 """Operator 6, cross-entropy difference of two matched n-gram models.
 
 Target model: all trusted documents. Background model: the whole corpus. Both share one vocabulary, the words that
-the target has MIN_COUNT times or more (all else is one unknown word), and one set of bigrams of such words, those that the target
-has MIN_PAIRS times or more. With c the counts, N the tokens and V the vocabulary's size:
-  P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(v, w) + KAPPA P(w)) / (c(v) + KAPPA) for listed bigrams;
-other tokens score by P(w) in both models (the back-off factor, the same in both, cancels). A document's score is the mean over its
-tokens of target loss less background loss; the lower, the closer it is to the target.
+the target has MIN_COUNT times or more (all else is one unknown word), and one set of bigrams of such words, those that the corpus
+has MIN_PAIRS times or more, in the target or not. With c the counts, N the tokens and V the vocabulary's size:
+  P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(v, w) + KAPPA P(w)) / (c(v) + KAPPA), where c(v, w) = 0 for bigrams that aren't listed:
+each model backs off by its own KAPPA / (c(v) + KAPPA). The first word of a text and words after an unknown one score by P(w). A
+document's score is the mean over its tokens of target loss less background loss; the lower, the closer it is to the target.
 Losses are whole micro-nats, so that sums don't depend on their order.
 
-Plan: three scans of the text without a shuffle of it: target counts, background counts of the target's n-grams (combined within the
-task; their number and that of their partial counts follow the corpus), scores. The model is broadcast up to MAX_BROADCAST rows;
-beyond, the same joins are shuffled.
+Plan: three scans of the text without a shuffle of it: counts of words in target and corpus, counts of the bigrams of the vocabulary
+(both combined within the task), scores. Vocabulary and bigrams are each broadcast up to MAX_BROADCAST rows; beyond, what a document
+looks up is shuffled to them. cross_entropy_difference() is the older form, with the target's bigrams alone and without back-off factors.
 
 Cases: null and empty texts have no tokens and a null score. Without trusted documents all n-grams are unknown and scores are 0.
 Rows that repeat a doc_id are told apart by a hash of the text; identical rows give one row each. Null doc_ids count as
@@ -20,16 +20,21 @@ one. Empty tables give empty results. Extra columns don't matter.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import core
+from tidemark.llm import core, text
 from tidemark.llm.quality_rules import trusted
 
-MIN_COUNT, MIN_PAIRS, KAPPA = 2, 5, 8.0
+MIN_COUNT, MIN_PAIRS, KAPPA = 2, 2, 8.0
 #: Model rows (16 bytes of data each) up to which they are broadcast.
 MAX_BROADCAST = 3_000_000
+#: Words that a task holds before it counts them.
+HELD = 1 << 19
 
 
 def _grams(text: Column) -> Column:
@@ -99,5 +104,178 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return d.select("doc_id", n("n").alias("n_tokens"), n("n2").alias("n_listed"), (F.col("loss") / F.col("n") / 1e6).alias("score"))
 
 
+def _rows(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
+
+
+def _ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each word its row, whether a word of its text is before it, the hash of that one and its own."""
+    for i, _, data, off in text.portions(texts):
+        starts, ends, first = text.words(data, off)
+        u = text.word_hashes(data, starts, ends).view(np.int64)
+        row = i + np.repeat(np.arange(len(off) - 1), np.diff(first))
+        after = np.zeros(len(u), bool)
+        after[1:] = row[1:] == row[:-1]
+        yield row, after, np.roll(u, 1), u
+
+
+def _pair(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return text.mix((v.view(np.uint64) ^ (v.view(np.uint64) >> np.uint64(29))) * text._BASE + u.view(np.uint64)).view(np.int64)
+
+
+def _context(v: np.ndarray) -> np.ndarray:
+    return text.mix(~v.view(np.uint64)).view(np.int64)
+
+
+def _at(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in sorted keys, -1 where it is none of them."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[i] == x, i, -1)
+
+
+WORDS, PAIRS, USES = "u long, ct long, cb long", "v long, u long, ct long, cb long", "did long, tag int, key long, n long"
+
+
+def _counts(pairs: bool, vocabulary=None):
+    """Counts of words, or of bigrams (of the vocabulary where it is given), in target and corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None if vocabulary is None else vocabulary.value[0], []
+
+        def counted() -> pa.RecordBatch:
+            v, u, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, at, inv = np.unique(_pair(v, u) if pairs else u, return_index=True, return_inverse=True)
+            n = [np.bincount(x, minlength=len(at)).astype(np.int64) for x in (inv[own], inv)]
+            return _rows(PAIRS, v[at], u[at], *n) if pairs else _rows(WORDS, u[at], *n)
+
+        for b in batches:
+            told = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, after, v, u in _ngrams(b.column(0)):
+                ok = after if pairs else np.ones(len(u), bool)
+                if known is not None:
+                    listed = _at(known, u) >= 0
+                    ok = ok & listed & np.roll(listed, 1)
+                held.append((v[ok], u[ok], told[row[ok]]))
+                if sum(len(x[1]) for x in held) >= HELD:
+                    yield counted()
+        if held:
+            yield counted()
+
+    return run
+
+
+def _pair_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Loss of listed bigrams, and by how much it differs from that of the back-off."""
+    for b in batches:
+        x = {n: b.column(n).to_numpy() for n in b.schema.names}
+        t, g = ((x[c] + KAPPA * x[p]) / (x[v] + KAPPA) for c, p, v in (("ct", "pt", "vt"), ("cb", "pb", "vb")))
+        loss = np.round(1e6 * (np.log(g) - np.log(t))).astype(np.int64)
+        yield _rows("key long, loss long, extra long", _pair(x["v"], x["u"]), loss, loss - x["l1"] - x["back"])
+
+
+def _context_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _rows("key long, loss long, pair long", _context(b.column(0).to_numpy()), b.column(1).to_numpy(), np.zeros(b.num_rows, np.int64))
+
+
+def _scored(words, pairs, unknown: int):
+    """Sums of each document: by words, and by bigrams where these are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.num_rows
+            n, n2, loss = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+            for row, after, v, u in _ngrams(b.column("text")):
+                each = np.full(len(u), unknown, np.int64)
+                if words is not None and len(words.value[0]):
+                    keys, l1, back = words.value
+                    iu = _at(keys, u)
+                    iv = np.where(after, np.roll(iu, 1), -1)
+                    each = np.where(iu >= 0, l1[iu], unknown) + np.where(iv >= 0, back[iv], 0)
+                    if pairs is not None and len(pairs.value[0]):
+                        both = np.flatnonzero((iu >= 0) & (iv >= 0))
+                        i = _at(pairs.value[0], _pair(v[both], u[both]))
+                        both, i = both[i >= 0], i[i >= 0]
+                        each[both] = pairs.value[1][i]
+                        n2 += np.bincount(row[both], minlength=m)
+                n += np.bincount(row, minlength=m)
+                np.add.at(loss, row, each)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("did"), b.column("tag"), pa.array(n), pa.array(n2), pa.array(loss)], names=["doc_id", "did", "tag", "n", "n2", "loss"])
+
+    return run
+
+
+def _uses(words):
+    """(did, tag, key, n): bigrams of the vocabulary in each document; without a vocabulary also words and contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            did, tag = b.column("did").to_numpy(), b.column("tag").to_numpy()
+            for row, after, v, u in _ngrams(b.column("text")):
+                if words is None:
+                    key, at = np.concatenate([_pair(v[after], u[after]), u, _context(v[after])]), np.concatenate([row[after], row, row[after]])
+                else:
+                    known = _at(words.value[0], u) >= 0
+                    ok = after & known & np.roll(known, 1)
+                    key, at = _pair(v[ok], u[ok]), row[ok]
+                if not len(key):
+                    continue
+                o = np.lexsort((key, at))
+                key, at = key[o], at[o]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+                yield _rows(USES, did[at[new]], tag[at[new]], key[new], np.diff(np.r_[new, len(key)]))
+
+    return run
+
+
+def _shared(spark: SparkSession, df: DataFrame, key: str):
+    """A table of longs, sorted by its key, as arrays on all executors."""
+    t = df.toArrow()
+    o = np.argsort(t[key].to_numpy())
+    return spark.sparkContext.broadcast([t[c].to_numpy()[o] for c in df.columns])
+
+
+def matched_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_tokens, n_listed (tokens that score as bigrams), score (nats per token, null
+    without tokens)."""
+    spark, ids = docs.sparkSession, trusted(labels)
+    d = core.pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    ids = F.broadcast(ids) if ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else ids
+    told = d.join(ids.withColumn("own", F.lit(True)), "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
+    total = lambda x, *by: x.groupBy(*by).agg(F.sum("ct").alias("ct"), F.sum("cb").alias("cb"))
+    counts = total(told.mapInArrow(_counts(False), WORDS), "u")
+    # all words below the cutoff become one, null
+    counts = core.stash(total(counts.withColumn("u", F.when(F.col("ct") >= MIN_COUNT, F.col("u"))), "u"), "word_counts")
+    n = counts.agg(F.sum("ct").alias("t"), F.sum("cb").alias("b"), F.count("u").alias("v")).first()
+    size = [float((k or 0) + n.v + 1) for k in (n.t, n.b)]
+    rest = counts.where("u is null").first()
+    gone = [k + 1 for k in ((rest.ct, rest.cb) if rest else (0, 0))]
+    micro = lambda c: F.round(1e6 * c).cast("long")
+    unknown = round(1e6 * (math.log(gone[1] / size[1]) - math.log(gone[0] / size[0]))) if n.v else 0
+    one = counts.where("u is not null").withColumns({p: (F.col(c) + 1) / s for p, c, s in (("pt", "ct", size[0]), ("pb", "cb", size[1]))})
+    one = one.select("u", "ct", "cb", "pt", "pb", micro(F.log("pb") - F.log("pt")).alias("l1"), micro(F.log(F.col("ct") + KAPPA) - F.log(F.col("cb") + KAPPA)).alias("back"))
+    one = core.stash(one, "words")
+    words = _shared(spark, one.select("u", "l1", "back"), "u") if n.v <= MAX_BROADCAST else None
+    small = F.broadcast if words else lambda x: x
+    two = total(told.mapInArrow(_counts(True, words), PAIRS), "v", "u").where(F.col("cb") >= MIN_PAIRS)
+    two = two.join(small(one.select("u", "pt", "pb", "l1")), "u").join(small(one.select(F.col("u").alias("v"), F.col("ct").alias("vt"), F.col("cb").alias("vb"), "back")), "v")
+    two = core.stash(two.mapInArrow(_pair_losses, "key long, loss long, extra long"), "pairs")
+    pairs = _shared(spark, two.select("key", "loss"), "key") if words and two.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else None
+    s = d.mapInArrow(_scored(words, pairs, unknown), "doc_id long, did long, tag int, n long, n2 long, loss long")
+    if not pairs:
+        model = two.select("key", F.col("extra").alias("loss"), F.lit(1).cast("long").alias("pair"))
+        if not words:
+            model = model.unionByName(one.select(F.col("u").alias("key"), (F.col("l1") - unknown).alias("loss"), F.lit(0).cast("long").alias("pair"))).unionByName(one.select("u", "back").mapInArrow(_context_keys, "key long, loss long, pair long"))
+        # a context or a bigram with an unknown word isn't in the model
+        more = d.mapInArrow(_uses(words), USES).join(model, "key").groupBy("did", "tag").agg(F.sum(F.col("n") * F.col("loss")).alias("l"), F.sum(F.col("n") * F.col("pair")).alias("p"))
+        # rows that are identical added up their uses alike: the quotients stay
+        more = more.join(d.groupBy("did", "tag").agg(F.count("*").alias("copies")), ["did", "tag"])
+        s = s.join(more, ["did", "tag"], "left").withColumns({"n2": F.coalesce((F.col("p") / F.col("copies")).cast("long"), "n2"), "loss": F.col("loss") + F.coalesce((F.col("l") / F.col("copies")).cast("long"), F.lit(0))})
+    return s.select("doc_id", F.col("n").alias("n_tokens"), F.col("n2").alias("n_listed"), (F.col("loss") / F.nullif(F.col("n"), F.lit(0).cast("long")) / 1e6).alias("score"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(core.read(spark, sf_dir, "documents"), core.read(spark, sf_dir, "labels"))
+    return matched_difference(core.read(spark, sf_dir, "documents"), core.read(spark, sf_dir, "labels"))
