@@ -25,6 +25,17 @@ def match_score(a: Column, b: Column) -> Column:
     return F.aggregate(hx(a), F.lit(0).cast("long"), lambda s, x: s + F.size(F.filter(other, lambda y: y == x)))
 
 
+def byte_match_score(a: Column, b: Column) -> Column:
+    """T-02 in linear time, for long texts."""
+
+    @F.pandas_udf(T.LongType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        count = lambda t: np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
+        return pd.Series([None if u is None or v is None else int(count(u) @ count(v)) for u, v in zip(x, y, strict=True)], dtype="Int64")
+
+    return run(a, b)
+
+
 def url_base64(b: Column) -> Column:
     """T-07: URL-safe alphabet without padding."""
     return F.rtrim(F.translate(F.base64(b), "+/=", "-_ "))

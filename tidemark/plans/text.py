@@ -32,7 +32,7 @@ def blake2(spark, sf_dir):
 
 def hmac(spark, sf_dir):
     """H-08: within the JVM and by the library; both must agree."""
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     d = read(spark, sf_dir, "documents").select("doc_id", X.hmac_sha256(t, b"key").alias("sha256"), X.hmac(t, b"key").alias("py"), X.hmac(t, b"key", "sha512").alias("sha512"))
     return d.select("doc_id", "sha256", "sha512", (F.col("sha256") == F.col("py")).alias("agree"))
 
@@ -43,11 +43,22 @@ def edit_distance(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.byte_levenshtein(a, b).cast("long").alias("distance"))
 
 
+def edit_distance_whole(spark, sf_dir):
+    """T-01 on whole columns, short by nature."""
+    return read(spark, sf_dir, "part").select("p_partkey", X.byte_levenshtein(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"))
+
+
 def char_match_score(spark, sf_dir):
     """T-02."""
     return read(spark, sf_dir, "documents").select("doc_id", X.match_score(F.substring("text", 1, 60), F.substring("text", 31, 60)).alias("score"))
 
 
+def char_match_score_whole(spark, sf_dir):
+    """T-02 on whole texts: each against itself and against its source's name."""
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", X.byte_match_score(t, t).alias("own"), X.byte_match_score(t, F.col("source")).alias("source"))
+
+
 def encodings(spark, sf_dir):
     """T-06, T-07, T-15."""
     t = F.encode(F.col("c_name"), "UTF-8")
@@ -71,6 +82,15 @@ def joining(spark, sf_dir):
     )
 
 
+def joining_whole(spark, sf_dir):
+    """T-04, L-03, R-01..R-04, R-07 on all elements: padded by two zeros, looped by three elements, in chunks of two."""
+    d = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 100).cast("int")).alias("e"))
+    n = F.size("e")
+    chunks = F.transform(F.filter(F.transform("e", lambda x, i: i), lambda i: i % 2 == 0), lambda i: F.array_join(F.slice("e", i + 1, 2), "+"))
+    looped = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n + 2), lambda i: F.element_at("e", F.pmod(i, n) + 1)), ",")).otherwise("")
+    return d.select("vec_id", F.array_join("e", ", ").alias("joined"), F.array_join(F.reverse("e"), ",").alias("reversed"), F.array_join(F.concat("e", F.array_repeat(F.lit(0), 2)), ",").alias("padded"), looped.alias("looped"), F.array_join(chunks, "|").alias("chunks"), F.to_json("e").alias("pretty"))
+
+
 def url_parts(spark, sf_dir):
     """T-11, T-12."""
     u = F.col("url")
@@ -133,6 +153,9 @@ QUERIES = {
     "blake2": (blake2, None),
     "hmac": (hmac, None),
     "edit_distance": (edit_distance, "SELECT doc_id, levenshtein(substring(text, 1, 40), substring(text, 21, 40)) AS distance FROM documents"),
+    "edit_distance_whole": (edit_distance_whole, None),
+    "char_match_score_whole": (char_match_score_whole, None),
+    "array_forms_whole": (joining_whole, None),
     "char_match_score": (char_match_score, """WITH a AS (SELECT doc_id, hex(encode(substring(text, 1, 60))) AS x, hex(encode(substring(text, 31, 60))) AS y FROM documents),
         p AS (SELECT doc_id, substr(x, 2 * i + 1, 2) AS c, count(*) AS n FROM a, range(240) t(i) WHERE 2 * i < len(x) GROUP BY 1, 2), q AS (SELECT doc_id, substr(y, 2 * i + 1, 2) AS c, count(*) AS n FROM a, range(240) t(i) WHERE 2 * i < len(y) GROUP BY 1, 2)
         SELECT a.doc_id, coalesce(sum(p.n * q.n), 0)::BIGINT AS score FROM a LEFT JOIN p ON p.doc_id = a.doc_id LEFT JOIN q ON q.doc_id = a.doc_id AND q.c = p.c GROUP BY a.doc_id"""),
