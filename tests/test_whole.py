@@ -49,3 +49,36 @@ def test_array_forms(spark, tmp_path):
         assert r.joined == ", ".join(s) and r.reversed == ",".join(s[::-1]) and r.padded == ",".join([*s, "0", "0"])
         assert r.looped == ",".join(s[i % len(s)] for i in range(len(s) + 3) if s)
         assert r.chunks == "|".join("+".join(s[i : i + 2]) for i in range(0, len(s), 2)) and r.pretty == "[" + ",".join(s) + "]"
+
+
+def place(k):
+    return (k * 7919 % 17000) / 100 - 85, (k * 104729 % 36000) / 100 - 180
+
+
+def test_near_pairs(spark, tmp_path):
+    ids = [*range(1, 1200), 17000 * 36 + 2]  # the last is where 2 is: ids of equal parity
+    got = sorted((r.a, r.b) for r in run(spark, "near_pairs_whole", tmp_path, "orders", [(k,) for k in ids], "o_orderkey long"))
+    near = lambda a, b: (place(a)[0] - place(b)[0]) ** 2 + (place(a)[1] - place(b)[1]) ** 2 <= 9
+    assert got == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(a, b)] and (2, ids[-1]) in got
+
+
+def test_tile_cover(spark, tmp_path):
+    from math import asinh, floor, pi, radians, tan
+
+    want = set()
+    for k in range(1, 120):
+        lat, lon = place(k)
+        y = lambda p, n: (1 - asinh(tan(radians(p))) / pi) / 2 * n
+        for z in range(3, 7):
+            n = 2**z
+            for i in range(max(floor((lon + 180) / 360 * n), 0), min(floor((lon + 184) / 360 * n), n - 1) + 1):
+                want |= {(k, z, i, j) for j in range(max(floor(y(lat + 2, n)), 0), min(floor(y(lat - 2, n)), n - 1) + 1)}
+    got = run(spark, "tile_cover_whole", tmp_path, "orders", [(k,) for k in range(1, 120)], "o_orderkey long")
+    assert sorted((r.id, r.zoom, r.x, r.y) for r in got) == sorted(want) and all(r.path == f"{r.zoom}/{r.x}/{r.y}" for r in got)
+
+
+def test_point_order(spark, tmp_path):
+    ids = [*range(1, 900), 17000 * 36 + 2]
+    got = run(spark, "point_order_whole", tmp_path, "orders", [(k,) for k in ids], "o_orderkey long")
+    want = sorted(ids, key=lambda k: (place(k)[1], place(k)[0], k))
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, len(ids) + 1))

@@ -71,8 +71,17 @@ def tile_index(spark, sf_dir):
 
 def tile_cover(spark, sf_dir):
     """C-17, G-11, Q20: addresses of the tiles of a box around each fiftieth point, zooms 3 to 6."""
+    return _cover(points(spark, sf_dir).where("id % 50 = 0"))
+
+
+def tile_cover_whole(spark, sf_dir):
+    """C-17, G-11, Q20 for all points."""
+    return _cover(points(spark, sf_dir))
+
+
+def _cover(d):
     lat, lon = F.col("lat"), F.col("lon")
-    d = points(spark, sf_dir).where("id % 50 = 0").withColumn("zoom", F.explode(F.sequence(F.lit(3), F.lit(6))))
+    d = d.withColumn("zoom", F.explode(F.sequence(F.lit(3), F.lit(6))))
     x0, y0 = G.tile(lat + 2, lon, F.col("zoom"))
     x1, y1 = G.tile(lat - 2, lon + 4, F.col("zoom"))
     top = F.pow(F.lit(2.0), F.col("zoom")) - 1
@@ -136,13 +145,23 @@ def rect_overlap(spark, sf_dir):
 
 def near_pairs(spark, sf_dir):
     """G-12, J-06: points of even and odd id within 3 degrees, by an equi-join on grid cells and their neighbours."""
+    p = points(spark, sf_dir)
+    return _near(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
+
+
+def near_pairs_whole(spark, sf_dir):
+    """G-12, J-06: all pairs of points within 3 degrees, the lesser id first."""
+    p = points(spark, sf_dir)
+    return _near(p, p, "a < b")
+
+
+def _near(p, q, which="true"):
     lat, lon = F.col("lat"), F.col("lon")
     cell = lambda c: F.floor(c / 3).cast("long")
-    p = points(spark, sf_dir)
-    a = p.where("id % 2 = 0").select(F.col("id").alias("a"), lat.alias("la"), lon.alias("lo"), cell(lat).alias("cy"), cell(lon).alias("cx"))
+    a = p.select(F.col("id").alias("a"), lat.alias("la"), lon.alias("lo"), cell(lat).alias("cy"), cell(lon).alias("cx"))
     around = F.array(*[F.struct((cell(lat) + i).alias("cy"), (cell(lon) + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = p.where("id % 2 = 1").select(F.col("id").alias("b"), lat.alias("lb"), lon.alias("ob"), F.explode(around).alias("c")).select("b", "lb", "ob", "c.*")
-    return a.join(b, ["cy", "cx"]).where("(la - lb) * (la - lb) + (lo - ob) * (lo - ob) <= 9").select("a", "b")
+    b = q.select(F.col("id").alias("b"), lat.alias("lb"), lon.alias("ob"), F.explode(around).alias("c")).select("b", "lb", "ob", "c.*")
+    return a.join(b, ["cy", "cx"]).where("(la - lb) * (la - lb) + (lo - ob) * (lo - ob) <= 9").where(which).select("a", "b")
 
 
 def transforms(spark, sf_dir):
@@ -212,6 +231,8 @@ QUERIES = {
     "tile_cover": (tile_cover, f"""SELECT id, zoom, x, y, zoom || '/' || x || '/' || y AS path FROM (SELECT id, zoom, x, unnest(range(y0, y1 + 1)) AS y, y0, y1 FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM
         (SELECT id, zoom, greatest(floor((lon + 180) / 360 * n), 0)::BIGINT AS x0, least(floor((lon + 184) / 360 * n), n - 1)::BIGINT AS x1, greatest(floor((1 - asinh(tan(radians(lat + 2))) / pi()) / 2 * n), 0)::BIGINT AS y0, least(floor((1 - asinh(tan(radians(lat - 2))) / pi()) / 2 * n), n - 1)::BIGINT AS y1
          FROM (SELECT *, pow(2.0, zoom) AS n FROM {POINTS_SQL}, (VALUES (3::BIGINT), (4), (5), (6)) t(zoom) WHERE id % 50 = 0)) WHERE x0 <= x1 AND y0 <= y1))"""),
+    "tile_cover_whole": (tile_cover_whole, None),
+    "near_pairs_whole": (near_pairs_whole, None),
     "points_in_rect": (points_in_rect, f"SELECT id, lat BETWEEN -10 AND 30 AND lon BETWEEN 20 AND 60 AS inside, lat > -10 AND lat < 30 AS within_open, lon NOT BETWEEN 20 AND 60 AS outside FROM {POINTS_SQL}"),
     "points_in_polygon": (points_in_polygon, _polygon_sql()),
     "segment_distance": (segment_distance, f"""SELECT id, round(sqrt(pow(lon - (-50 + 130 * t), 2) + pow(lat - (-20 + 60 * t), 2)), 6) AS distance, round(sqrt(pow(lon - 1, 2) + pow(lat - 2, 2)), 6) AS to_point, round(sqrt(lon * lon + lat * lat), 6) AS length, round(atan2(lat, lon), 6) AS direction,

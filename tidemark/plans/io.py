@@ -117,6 +117,19 @@ def point_order(spark, sf_dir):
     return points(spark, sf_dir).orderBy("lon", "lat", "id").limit(10).select("id", "lon", "lat")
 
 
+def point_order_whole(spark, sf_dir):
+    """L-01, L-07: all points with their ranks by x, then y: a range sort, and within each part the ranks of the parts before."""
+    path = _shared(spark)
+    points(spark, sf_dir).orderBy("lon", "lat", "id").select("id", "lon", "lat", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    d = spark.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+    before, start = 0, []
+    for r in d.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each part
+        start.append((r.part, before))
+        before += r.n
+    first = F.broadcast(spark.createDataFrame(start, "part long, before long"))
+    return d.join(first, "part").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"), "id", "lon", "lat")
+
+
 def range_steps(spark, sf_dir):
     """F-04: values from each part's size to 50 by 7, by a generator."""
     d = read(spark, sf_dir, "part").where("p_size <= 50").select("p_partkey", F.explode(F.sequence(F.col("p_size").cast("long"), F.lit(50).cast("long"), F.lit(7).cast("long"))).alias("v"))
@@ -204,6 +217,7 @@ QUERIES = {
     "zipped": (zipped, "WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT a.user_id, a.k, a.value AS a, b.value AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'click' AND b.event_type = 'view'"),
     "retain_take": (retain_take, "SELECT CASE WHEN coalesce(TRY_CAST(substring(p_brand, 7, 2) AS INT) > 20, false) THEN 'taken' ELSE 'kept' END AS side, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY 1"),
     "point_order": (point_order, f"SELECT id, lon, lat FROM {POINTS_SQL} ORDER BY lon, lat, id LIMIT 10"),
+    "point_order_whole": (point_order_whole, None),
     "range_steps": (range_steps, "SELECT p_partkey, unnest(range(p_size::BIGINT, 51, 7)) AS v FROM part WHERE p_size <= 50"),
     "keyed_union": (keyed_union, "SELECT n_nationkey, CASE WHEN n_nationkey < 15 THEN 'a ' ELSE 'b ' END || n_name AS name FROM nation"),
     "graph_bfs_levels": (graph_bfs, f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), b AS (SELECT 'r0' AS id, 0::BIGINT AS level, 'r0' AS path UNION ALL SELECT 'r1', 0, 'r1' UNION ALL SELECT e.dst, b.level + 1, b.path || '>' || e.dst FROM b JOIN e ON e.src = b.id) SELECT * FROM b"""),
