@@ -90,3 +90,13 @@ def test_disclosures(spark):
     assert "Zebrafish" not in out[0].sanitised and "joe@x.org" not in out[0].sanitised and "[EMAIL]" in out[0].sanitised
     assert out[1].spans == "" and out[1].sanitised == rows[1][1] and out[None].sanitised == ""
     assert P.personal_data(df.limit(0)).count() == 0
+
+
+def test_terms_of_other_lines_and_short_ones(spark):
+    rows = [(i, f"plain words number {i}") for i in range(200)] + [(200 + i, "Ann Zebrafish\nstreet 5\nann@x.org\nCall Ann, 李, soon.") for i in range(2)] + [(200, "Ann without the address")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.entity, r.term) for r in P.disclosures(df).collect()}
+    assert {("email:ann@x.org", x) for x in ("ann", "zebrafish", "李")} <= got
+    out = [r.sanitised for r in P.personal_data(df).collect() if r.doc_id in (200, 201)]
+    assert len(out) == 3 and out.count("Ann without the address") == 1
+    assert all("Ann" not in x and "李" not in x and "[EMAIL]" in x for x in out if "EMAIL" in x)

@@ -1,12 +1,12 @@
 """Operator 7, personal data: patterns find protected entities (mail addresses, IP addresses, cards, phone numbers); then
 information-theoretic sanitisation finds what else reveals them.
 
-For an entity e and a term t of the same line, over the documents of the corpus: the information of e is
+For an entity e and a term t of the same document, over the documents of the corpus: the information of e is
 IC(e) = log2(N / n(e)), and t discloses PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) of it. A term that meets e in
-MIN_TOGETHER documents or more and discloses at least GENERALISE of IC(e) is generalised, from REMOVE on removed, in the lines with e. Terms
-are runs of MIN_TERM letters or more, lower-cased. All counts are over all documents, each counted once.
+MIN_TOGETHER documents or more and discloses at least GENERALISE of IC(e) is generalised, from REMOVE on removed, wherever it stands in
+a document with e. Terms are runs of MIN_TERM letters or more, lower-cased. All counts are over all documents, each counted once.
 
-Plan: scan 1 finds entities and the terms beside them; documents without any end there. Scan 2 counts the documents of
+Plan: scan 1 finds entities and the terms of their documents; documents without any end there. Scan 2 counts the documents of
 the candidate terms, combined within the task. Scan 3 marks the spans. Candidates and verdicts travel by broadcast within
 a checked size and by shuffle beyond it.
 
@@ -36,10 +36,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]+")
 _NOT = bytes(i for i in range(256) if chr(i) not in "0123456789@")
-MIN_TERM, MIN_TOGETHER = 4, 2
+MIN_TERM, MIN_TOGETHER = 1, 2
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows up to which candidates and verdicts are broadcast.
 MAX_BROADCAST = 300_000
+#: Meetings that a task holds before it passes them on.
+HELD = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -89,36 +91,43 @@ def entity(t: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{own}"
 
 
+def free_terms(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """The terms (term, begin, end) of a text that overlap no span."""
+    terms, k = [], 0
+    for m in TERM.finditer(t):
+        while k < len(spans) and spans[k][2] <= m.start():
+            k += 1
+        if m.end() - m.start() >= MIN_TERM and not (k < len(spans) and spans[k][0] < m.end()):
+            terms.append((m[0].lower(), m.start(), m.end()))
+    return terms
+
+
 def beside(t: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """For each span its entity and the terms (term, begin, end) of its line that overlap no span."""
-    line, terms = None, []
-    for i, kind, j in spans:
-        a, b = t.rfind("\n", 0, i) + 1, t.find("\n", j)
-        b = len(t) if b < 0 else b
-        if line != (a, b):
-            line = (a, b)
-            own = [(x, y) for x, _, y in spans if x < b and y > a]
-            terms, k = [], 0
-            for m in TERM.finditer(t, a, b):
-                while k < len(own) and own[k][1] <= m.start():
-                    k += 1
-                if m.end() - m.start() >= MIN_TERM and not (k < len(own) and own[k][0] < m.end()):
-                    terms.append((m[0].lower(), m.start(), m.end()))
-        yield entity(t, (i, kind, j)), terms
+    """For each span its entity and the terms of the text."""
+    terms = free_terms(t, spans)
+    for span in spans:
+        yield entity(t, span), terms
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("did", pa.int64()), ("entity", pa.string()), ("term", pa.string())])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     for b in batches:
-        rows = set()
+        rows = []
         for did, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if t and (spans := base_spans(t)):
-                for e, terms in beside(t, spans):
-                    rows.add((did, e, None))
-                    rows.update((did, e, x) for x, _, _ in terms)
+                terms = sorted({x for x, _, _ in free_terms(t, spans)})
+                for e in sorted({entity(t, s) for s in spans}):
+                    rows.append((did, e, None))
+                    rows += [(did, e, x) for x in terms]
+                    if len(rows) >= HELD:
+                        yield batch(rows)
+                        rows = []
         if rows:
-            cols = zip(*sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            yield batch(rows)
 
 
 def _term_counts(wanted):
@@ -194,11 +203,13 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in spans)
             new = {(i, k, j): f"[{KINDS[k].upper()}]" for i, k, j in spans}
             if told is not None and len(told):
-                share = {(x["entity"], x["term"]): x["share"] for x in told}
-                for e, terms in beside(t, spans):
-                    for x, i, j in terms:
-                        if (s := share.get((e, x))) is not None and new.get((i, 4, j)) != "":
-                            new[i, 4, j] = "" if s >= REMOVE else "[TERM]"
+                own, share = {entity(t, x) for x in spans}, {}
+                for x in told:
+                    if x["entity"] in own:
+                        share[x["term"]] = max(x["share"], share.get(x["term"], 0))
+                for x, i, j in free_terms(t, spans):
+                    if x in share:
+                        new[i, 4, j] = "" if share[x] >= REMOVE else "[TERM]"
             every = sorted(new)
             clean, at = [], 0
             for i, k, j in every:
