@@ -38,6 +38,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def tags(text: Column) -> list[Column]:
+    """128 bits that, with the doc_id, tell rows apart: tag and tag2, two hashes of the text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("tag"), F.xxhash64(F.lit(1), t).alias("tag2")]
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 

@@ -1,27 +1,30 @@
 """Operator 3, near-duplicates by HyperMinHash: one hash a shingle; its top bits choose a bucket, and of each bucket's least
 hash the register keeps the count of leading zeros (6 bits) and the mantissa after them (10 bits).
 
-1. Rows with the same shingle set form a class (128-bit fingerprint), which the least doc_id represents. All below is about
-   representatives, so exact copies are never paired.
+1. Rows with the same shingle set form a class (128-bit fingerprint), which the text of its row with the least doc_id represents. All below
+   is about classes (64-bit numbers, `rep`), so exact copies are never paired.
 2. Empty buckets borrow the register of another in a fixed random order; 32 bands of 4 registers (64 bits), half of all, are the keys.
 3. First round: in each band bucket all members are paired with the least, and with their neighbours in the order of the bands that follow.
    The Jaccard estimate of the registers, less the share expected to collide by chance, drops what is far below the threshold; what is
    left is confirmed on full shingle sets.
-4. Pivot rounds, over buckets (without their least member) whose members aren't in one component yet: some PIVOTS of the members
+4. A bound for what is in buckets (without their least member) that hold more than one component yet: `most`, the number of a member's
+   shingles that stand in any member of another component. It is exact, counted on full sets, and no link to another component can
+   share more. Documents that hold a part of a large group's text and words of their own beside it are ruled out by it at once,
+   all together, in one pass over their shingles instead of a test against each member of the group.
+5. Pivot rounds over these buckets: some PIVOTS of the members
    outside the bucket's largest component are paired with all members of other components, and leave the bucket afterwards. The
-   join itself drops pairs whose sizes or lowest register bits rule a link out, so that documents with a common passage and little
-   else make few rows. What a pivot links no longer needs pairs of its own; the number of pivots grows sixteenfold a
-   round, so that members without any links end as well. In the end each pair that shares a bucket was tested, ruled out
-   or is known to be in one component. Nothing is capped.
-5. Connected components over confirmed links (graph.py).
-
-A pair at the threshold of 0.75 shares a band with probability 1 - (1 - 0.75^4)^32 = 0.999995. The estimate's standard
-deviation there is 0.027; pairs are dropped 0.15 below the threshold, and in the pivots' join where the two lowest bits of fewer than
-LEAST_SAME registers agree (4.8 deviations below the mean at the threshold).
+   join itself drops pairs that their sizes, the bound or their lowest register bits rule out. What a pivot links no longer needs pairs
+   of its own; the number of pivots grows sixteenfold a round, so that members without any links end as well. In the end each pair
+   that shares a bucket was tested, ruled out or is known to be in one component. Nothing is capped.
+6. Connected components over confirmed links (graph.py).
+
+A pair at the threshold of 0.75 shares a band with probability 1 - (1 - 0.75^4)^32 = 0.999995. The estimate's cut, and that of the lowest
+register bits, lies SIGMAS standard deviations below the threshold; the deviation follows from the registers that the smaller set
+fills by itself. Pairs with a set of fewer than LEAST_SET shingles are tested without these cuts.
 Texts, not sets, travel to the verification: they are smaller. Only those of documents that share a bucket do.
 
 Cases: texts without words are linked with nothing. Fewer than five words are one shingle. Null doc_ids: a component_id is null if no
-member has an id. Rows that repeat a doc_id are judged by their own text. Empty tables give empty results.
+member has an id. Rows that repeat a doc_id, or have none, are judged by their own text: a document's id links nothing. Empty tables give empty results.
 Extra columns don't matter. Exact ties (three quarters) are links.
 """
 
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,14 +44,17 @@ SHINGLE, PERCENT = 5, 75
 BUCKET_BITS, BAND, BANDS = 8, 4, 32
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
-SLACK = 0.15
-LEAST_SAME = 178
+#: How far below the threshold registers rule a pair out, in standard deviations, and the sets for which they don't at all.
+SIGMAS, LEAST_SET = 6.0, 64
+#: Shingles that a task holds before it passes them on, and that a slot of the bound has on average.
+HELD, SLOT = 1 << 20, 1 << 19
 _MARKS = [f"s{i}" for i in range(BUCKETS // 32)]
 PIVOTS, MORE = 64, 16
-#: Ids (8 bytes) up to which they are broadcast to pick texts; beyond, texts are shuffled.
-MAX_BROADCAST = 2_000_000
+#: Rows (at most 32 bytes of numbers) up to which they are broadcast to pick texts; beyond, texts are shuffled.
+MAX_BROADCAST = 500_000
 _PROBE = np.argsort(np.random.Generator(np.random.PCG64(5)).random((BUCKETS, BUCKETS)), axis=1)
-FEATURES = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), *[(c, pa.int64()) for c in _MARKS], ("bands", pa.list_(pa.int64()))])
+ROW = ["did", "tag", "tag2"]
+FEATURES = pa.schema([*[(c, pa.int64()) for c in ROW], ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), *[(c, pa.int64()) for c in _MARKS], ("bands", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -94,21 +100,24 @@ def marks(r: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        did, texts = b.column(0), b.column(1)
-        for i, sets in shingle_sets(texts):
+        own = [b.column(k).cast(pa.int64()) for k in range(3)]
+        for i, sets in shingle_sets(b.column(3)):
             n = np.array([len(s) for s in sets], np.int64)
             f = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             g = np.array([text.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             regs = [registers(s) if len(s) else np.zeros(0, np.uint16) for s in sets]
             low = np.array([marks(r) if len(r) else np.zeros(len(_MARKS), np.int64) for r in regs], np.int64).reshape(-1, len(_MARKS))
             bands = [r.view(np.int64) for r in regs]
-            yield pa.RecordBatch.from_arrays([did.slice(i, len(sets)).cast(pa.int64()), pa.array(n), pa.array(f), pa.array(g), *map(pa.array, low.T), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
+            yield pa.RecordBatch.from_arrays([*[x.slice(i, len(sets)) for x in own], pa.array(n), pa.array(f), pa.array(g), *map(pa.array, low.T), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    return core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), *core.tags(F.col("text")), "text")
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(did, n, f, g, s0.., bands): size and fingerprint of the shingle set, the two lowest bits of all registers, and the registers, four to a number."""
-    d = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
-    return d.mapInArrow(_features, f"did long, n long, f long, g long, {' long, '.join(_MARKS)} long, bands array<long>")
+    """(did, tag, tag2, n, f, g, s0.., bands): size and fingerprint of the shingle set, the two lowest bits of all registers, and the registers, four to a number."""
+    return rows_of(docs).mapInArrow(_features, f"did long, tag long, tag2 long, n long, f long, g long, {' long, '.join(_MARKS)} long, bands array<long>")
 
 
 def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -154,45 +163,70 @@ def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
 
 
+def cut(n: Column, mean: float) -> Column:
+    """The least share of registers that agree in pairs at the threshold, where `mean` of them do on average and the
+    smaller set has n shingles; nothing (0) for small sets."""
+    filled = BUCKETS * (1 - F.exp(-n / float(BUCKETS)))
+    return F.when(n < LEAST_SET, 0.0).otherwise(mean - SIGMAS * F.sqrt(mean * (1 - mean) / filled))
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) that are links: by the registers' estimate first, then on full sets."""
     r = reps.select("rep", "n", "bands")
     p = pairs.join(r.toDF("u", "nu", "bu"), "u").join(r.toDF("v", "nv", "bv"), "v")
-    p = p.where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (estimate("bu", "bv", "nu", "nv") >= percent / 100 - SLACK)).select("u", "v")
+    p = p.where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (estimate("bu", "bv", "nu", "nv") >= cut(F.least("nu", "nv"), percent / 100))).select("u", "v")
     p = core.stash(p, "likely")
     t = _of(texts, p.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     both = p.join(t.toDF("u", "tu"), "u").join(t.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
     return core.stash(both.mapInArrow(_verify(percent), "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row for each document: did, n_shingles, component (the least did reachable)."""
+def member_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the rows (rep, did, tag, tag2): one text each, also where a row is repeated."""
+    n = ids.count()
+    t = core.stash(rows_of(docs).join(F.broadcast(ids) if n <= MAX_BROADCAST else ids, ROW).select("rep", "text"), "member_texts")
+    return t if t.count() == n else core.stash(t.dropDuplicates(["rep"]), "member_texts")
+
+
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: did, tag, tag2 (core.tags), n_shingles, and the least (did, tag, tag2) of its component."""
     feats = core.stash(features(docs), "features")
-    classes = core.stash(feats.where("n > 0").groupBy("f", "g", "n").agg(F.min("did").alias("rep"), *[F.first(c).alias(c) for c in (*_MARKS, "bands")]), "classes")
+    classes = feats.where("n > 0").groupBy("f", "g", "n").agg(F.min(F.struct(*ROW)).alias("own"), *[F.first(c).alias(c) for c in (*_MARKS, "bands")])
+    classes = core.stash(classes.withColumn("rep", F.xxhash64("f", "g", "n")), "classes")
     keys = classes.select("rep", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key"), "bands")
     after = [F.get("bands", F.pmod(F.col("band") + i, F.lit(BANDS))).alias(f"k{i}") for i in (1, 2, 3)]
     keys = keys.select("rep", "band", "key", *after)
     many = keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
     members = core.stash(keys.join(many, ["band", "key"]), "members")
     ids = core.stash(members.select("rep").distinct(), "member_ids")
-    texts = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("rep"), "text")
-    texts, reps = core.stash(_of(texts, ids), "member_texts"), core.stash(_of(classes.select("rep", "n", *_MARKS, "bands"), ids), "member_registers")
+    reps = core.stash(_of(classes.select("rep", "own", "n", *_MARKS, "bands"), ids), "member_registers")
+    texts = member_texts(docs, reps.select("rep", "own.*"))
     star = members.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     links = confirmed(star.unionByName(neighbours(members)).distinct(), reps, texts, percent)
     comp = core.stash(graph.components(links), "components")
-    small = reps.select("rep", "n", *_MARKS)
-    left, pivots = members.where("size > 2 and rep != least").select("band", "key", "rep"), PIVOTS
+    small = reps.select("rep", "n", F.col("n").alias("most"), *_MARKS)
+    left, pivots, bounded = members.where("size > 2 and rep != least").select("band", "key", "rep"), PIVOTS, False
     while True:
-        left, pairs, done = pivot_round(left, comp, small, pivots, percent)
-        if done:
+        m = open_buckets(left, comp)
+        if m.isEmpty():
             break
+        if not bounded:
+            small, bounded = core.stash(with_bound(small, m, texts), "bounds"), True
+        left, pairs = pivot_round(m, small, pivots, percent)
         links = confirmed(pairs, reps, texts, percent)
         if not links.isEmpty():
             old = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comp = core.stash(graph.components(old.unionByName(links)), "components")
         pivots *= MORE
-    named = classes.select("f", "g", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
-    return feats.select("did", "n", "f", "g").join(named, ["f", "g", "n"], "left").select("did", F.col("n").alias("n_shingles"), F.coalesce("component", "did").alias("component"))
+    least = comp.join(classes.select(F.col("rep").alias("node"), "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
+    comp = comp.join(least, "component").select(F.col("node").alias("rep"), "least")
+    named = classes.select("f", "g", "n", "rep", "own").join(comp, "rep", "left").select("f", "g", "n", F.coalesce("least", "own").alias("least"))
+    return feats.select(*ROW, "n", "f", "g").join(named, ["f", "g", "n"], "left").select(*ROW, F.col("n").alias("n_shingles"), F.coalesce("least", F.struct(*ROW)).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: did, n_shingles, component (the least did reachable)."""
+    return groups(docs, percent).select("did", "n_shingles", F.col("least.did").alias("component"))
 
 
 def _next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,29 +253,144 @@ def neighbours(members: DataFrame) -> DataFrame:
     return d.select("band", "key", "rep").mapInArrow(_next_to, "u long, v long")
 
 
-def pivot_round(left: DataFrame, comp: DataFrame, small: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
-    """What stays of open buckets (band, key, rep) without this round's pivots, the pivots' pairs (u, v), and whether no
-    bucket was open."""
+def open_buckets(left: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (band, key, rep, c) of the buckets whose members aren't in one component c yet, with the component that most of
+    the bucket is in and the number of members outside it."""
     at = ["band", "key"]
     m = left.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", F.coalesce("component", "rep").alias("c"))
     per = m.groupBy(*at, "c").agg(F.count("*").alias("k"))
     bulk = per.groupBy(*at).agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     bulk = bulk.select(*at, F.col("x.c").alias("bulk"), (F.col("all") - F.col("x.k")).alias("few"))
-    h = F.xxhash64("rep", F.lit(pivots))
-    m = core.stash(m.join(bulk, at).join(small, "rep").withColumn("h", F.when(F.col("c") != F.col("bulk"), h)), "open_buckets")
-    if m.isEmpty():
-        return left, left, True
+    return core.stash(m.join(bulk, at), "open_buckets")
+
+
+FOREIGN = "slot int, kind int, s binary, c binary, many binary"
+
+
+def _shingles_by_slot(slots: int):
+    """Of documents (rep, c, asks, text): for each slot of shingles a row of kind 0, the shingles with a component that holds them
+    and whether another here does, and a row of kind 1, the shingles (s) of documents (c) that ask and can't tell yet. What is shared
+    within the task needs no answer: it is counted at once, in rows of kind 2 (documents s, counts c)."""
+    schema = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("s", pa.binary()), ("c", pa.binary()), ("many", pa.binary())])
+
+    def rows(kind: int, slot: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+        """One row a slot, of columns that are sorted by slot."""
+        at = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in cols]
+        packed += [pa.nulls(len(at) - 1, pa.binary())] * (3 - len(cols))
+        return pa.RecordBatch.from_arrays([pa.array(slot[at[:-1]], pa.int32()), pa.array(np.full(len(at) - 1, kind, np.int32)), *packed], schema=schema)
+
+    def flushed(held: list) -> Iterator[pa.RecordBatch]:
+        s, rep, c, asks = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(s, kind="stable")
+        s, rep, c, asks = s[order], rep[order], c[order], asks[order]
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        low = np.minimum.reduceat(c, at)
+        many = low != np.maximum.reduceat(c, at)
+        slot = lambda x: ((x >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int32)  # noqa: E731  in the order of x
+        yield rows(0, slot(s[at]), s[at], low, many.astype(np.uint8))
+        known = np.repeat(many, np.diff(np.append(at, len(s))))
+        open_ = asks & ~known
+        if open_.any():
+            yield rows(1, slot(s[open_]), s[open_], rep[open_])
+        if (asks & known).any():
+            who, n = np.unique(rep[asks & known], return_counts=True)
+            to = (text.mix(who.view(np.uint64)) % np.uint64(slots)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            yield rows(2, to[order], who[order], n[order].astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            rep, c, asks = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, sets in shingle_sets(b.column(3)):
+                for k, s in enumerate(sets, i):
+                    held.append((s, np.full(len(s), rep[k]), np.full(len(s), c[k]), np.full(len(s), asks[k])))
+                    n += len(s)
+                if n >= HELD:
+                    yield from flushed(held)
+                    held, n = [], 0
+        if n:
+            yield from flushed(held)
+
+    return run
+
+
+def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by slot and kind: (rep, most), parts of the number of a document's shingles that another component holds."""
+    schema = pa.schema([("rep", pa.int64()), ("most", pa.int64())])
+    at, held, shared = None, [], None
+
+    def merged() -> list:
+        s, c, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(s, kind="stable")
+        s, c, many = s[order], c[order], many[order]
+        i = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        low = np.minimum.reduceat(c, i)
+        return [(s[i], low, np.maximum.reduceat(many, i) | (low != np.maximum.reduceat(c, i)))]
+
+    for b in batches:
+        for slot, kind, s, c, many in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            if slot != at:
+                at, held, shared = slot, [], None
+            if kind == 0:
+                held.append((np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(many, np.uint8)))
+                if sum(len(x[0]) for x in held[1:]) > max(HELD, len(held[0][0])):
+                    held = merged()
+                continue
+            if kind == 1:
+                if shared is None:
+                    held = merged()
+                    shared, held = held[0][0][held[0][2] > 0], []
+                x, rep = np.frombuffer(s, np.uint64), np.frombuffer(c, np.int64)
+                i = np.searchsorted(shared, x)
+                hit = np.zeros(len(x), bool) if not len(shared) else shared[np.minimum(i, len(shared) - 1)] == x
+                who, n = np.unique(rep[hit], return_counts=True)
+            else:
+                who, n = np.frombuffer(s, np.int64), np.frombuffer(c, np.int64)
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], schema=schema)
+
+
+def with_bound(small: DataFrame, m: DataFrame, texts: DataFrame) -> DataFrame:
+    """small with `most` lowered, for members outside their buckets' largest components, to the number of their shingles that a member of
+    another component holds. Slots follow the shingles: a task holds the distinct ones of a slot, and a shingle that many
+    documents share is sent once a task."""
+    spark = m.sparkSession
+    who = m.groupBy("rep").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("bulk")).alias("asks"))
+    who = core.stash(who.join(small.select("rep", "n"), "rep"), "bound_of")
+    slots = max(core.parts(spark), (who.agg(F.sum("n")).first()[0] or 0) // SLOT)
+    d = who.join(texts, "rep").select("rep", "c", "asks", "text")
+    got = d.mapInArrow(_shingles_by_slot(slots), FOREIGN).repartition(core.parts(spark), "slot").sortWithinPartitions("slot", "kind")
+    got = got.mapInArrow(_foreign, "rep long, most long").groupBy("rep").agg(F.sum("most").alias("most"))
+    got = who.where("asks").select("rep").join(got, "rep", "left").select("rep", F.coalesce("most", F.lit(0).cast("long")).alias("least_of"))
+    return small.join(got, "rep", "left").select("rep", "n", F.coalesce("least_of", "n").alias("most"), *_MARKS)
+
+
+def pivot_round(m: DataFrame, small: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What stays of open buckets (band, key, rep) without this round's pivots and what the bound rules out altogether, and the
+    pivots' pairs (u, v)."""
+    at = ["band", "key"]
+    # a link shares i shingles, i <= most, and percent * (n + other n) <= (100 + percent) * i; the other has max(i, least n of the bucket) at least
+    fits = lambda i, n, k: (100 + percent) * i >= percent * (n + k)
+    outside = F.col("c") != F.col("bulk")
+    m = m.join(small, "rep")
+    low = m.groupBy(*at).agg(F.min("n").alias("low"))
+    m = m.join(low, at).where(~outside | fits(F.col("most"), F.col("n"), F.greatest("most", "low"))).drop("low")
+    m = core.stash(m.withColumn("h", F.when(outside, F.xxhash64("rep", F.lit(pivots)))), "bounded_buckets")
     first = m.groupBy(*at).agg(F.min("h").alias("first"))
     each = F.greatest(F.lit(1), F.floor(F.col("few") / pivots)).cast("long")
     chosen = m.where("h is not null").join(first, at).where((F.col("h") == F.col("first")) | (F.pmod(F.col("h"), each) == 0))
-    chosen = core.stash(chosen.select(*at, *[F.col(x).alias(f"p_{x}") for x in ("rep", "c", "n", *_MARKS)]), "pivots")
+    chosen = core.stash(chosen.select(*at, *[F.col(x).alias(f"p_{x}") for x in ("rep", "c", "n", "most", *_MARKS)]), "pivots")
     lanes = F.lit(0x5555555555555555)
     x = [F.col(c).bitwiseXOR(F.col(f"p_{c}")) for c in _MARKS]
     other = sum((F.bit_count(y.bitwiseOR(F.shiftright(y, 1)).bitwiseAND(lanes)) for y in x[1:]), F.bit_count(x[0].bitwiseOR(F.shiftright(x[0], 1)).bitwiseAND(lanes)))
-    may = (F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (other <= BUCKETS - LEAST_SAME)
+    share = percent / 100
+    may = (F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & fits(F.least("most", "p_most"), F.col("n"), F.col("p_n"))
+    may &= other <= BUCKETS * (1 - cut(F.least("n", "p_n"), share + (1 - share) / 4))  # by chance a quarter of two bits agree
     pairs = m.join(chosen, at).where(may).select(F.greatest("rep", "p_rep").alias("u"), F.least("rep", "p_rep").alias("v")).distinct()
     rest = m.select(*at, "rep").join(chosen.select(*at, F.col("p_rep").alias("rep")), [*at, "rep"], "left_anti")
-    return core.stash(rest, "left"), core.stash(pairs, "pivot_pairs"), False
+    return core.stash(rest, "left"), core.stash(pairs, "pivot_pairs")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +400,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each component: the one with its least doc_id. Of rows that repeat an id all stay or go."""
-    found = near_duplicates(docs).where("did = component").select(F.col("did").alias("_did")).distinct()
+    """docs with one document of each component: the one with its least doc_id. Rows that are identical in id and text all stay or go."""
+    found = groups(docs).where(F.struct(*ROW) == F.col("least")).select(*[F.col(c).alias(f"_{c}") for c in ROW]).distinct()
     own = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
-    on = F.coalesce(plain[f"c{own.index('doc_id')}"], F.lit(core.NO_ID)) == found["_did"]
+    mine = [F.coalesce(plain[f"c{own.index('doc_id')}"], F.lit(core.NO_ID)), *core.tags(plain[f"c{own.index('text')}"])]
+    on = [x == found[f"_{c}"] for c, x in zip(ROW, mine, strict=True)]
     return plain.join(found, on, "left_semi").toDF(*own)
