@@ -57,8 +57,10 @@ def test_components(spark, rows):
     assert got == brute(rows)
 
 
-def test_pivot_rounds_do_the_whole_job(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+def test_blocks_do_the_whole_job(spark, rows, monkeypatch):
+    for name in ("BLOCK", "MEMBERS"):
+        monkeypatch.setattr(near_dedup, name, 2)
+    monkeypatch.setattr(near_dedup, "neighbours", lambda m: m.limit(0).selectExpr("rep AS u", "rep AS v"))
     df = spark.createDataFrame([r for r in rows if r[0] % 2], "doc_id long, text string")
     got = {r.did: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(df).collect()}
     assert got == brute([r for r in rows if r[0] % 2])
@@ -77,12 +79,12 @@ def test_bound_rules_out_parts_of_a_large_group(spark, monkeypatch):
     for d in range(300, 500):
         rows.append((d, " ".join(base[: rng.randrange(115, 125)] + [word() for _ in range(28)])))
     seen = []
-    real = near_dedup.pivot_round
-    monkeypatch.setattr(near_dedup, "pivot_round", lambda *a: seen.append(real(*a)) or seen[-1])
+    real = near_dedup.bounded
+    monkeypatch.setattr(near_dedup, "bounded", lambda *a: seen.append(real(*a)) or seen[-1])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.did: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(df).collect()}
     assert got == brute(rows)
-    assert sum(pairs.count() for _, pairs in seen) < 2000
+    assert seen and sum(d.where("out").count() for d in seen) < 20
 
 
 def test_null_ids_repeats_and_empty_table(spark):
@@ -110,29 +112,25 @@ def pair(rng, same, left, right):
     return np.sort(s[: same + left]), np.sort(np.concatenate([s[:same], s[same + left :]]))
 
 
-def test_cuts_keep_pairs_at_the_threshold(spark):
-    """Pairs at exactly three quarters pass the estimate's cut and that of the low bits, at any size from which these hold."""
+def test_cut_keeps_pairs_at_the_threshold(spark):
+    """Pairs at exactly three quarters pass the estimate's cut, at any size from which it holds."""
     import numpy as np
     from pyspark.sql import functions as F
 
     rng, lost = np.random.default_rng(11), []
     sizes = [(54, 9, 9), (54, 18, 0), (66, 11, 11), (90, 30, 0), (210, 35, 35), (900, 150, 150)]
-    means = (0.75, 0.8125)
-    rows = spark.createDataFrame([(i, same + min(l, r)) for i, (same, l, r) in enumerate(sizes)], "i int, n long").select("i", *[near_dedup.cut(F.col("n"), m).alias(f"c{k}") for k, m in enumerate(means)]).orderBy("i").collect()
-    for (same, left, right), c in zip(sizes, rows, strict=True):
+    cuts = spark.createDataFrame([(i, same + min(l, r)) for i, (same, l, r) in enumerate(sizes)], "i int, n long").orderBy("i").select(near_dedup.cut(F.col("n"), 0.75).alias("c")).collect()
+    for (same, left, right), c in zip(sizes, cuts, strict=True):
         for _ in range(1500):
             p, q = (near_dedup.registers(s) for s in pair(rng, same, left, right))
-            n = np.array([same + left, same + right], float)
-            chance = near_dedup.collisions(n[:1], n[1:])[0]
-            full, low = (p == q).mean(), ((p & 3) == (q & 3)).mean()
-            if (full - chance) / (1 - chance) < c.c0 or low < c.c1:
-                lost.append((same, left, right, full, low))
+            chance = near_dedup.collisions(np.array([same + left], float), np.array([same + right], float))[0]
+            if ((p == q).mean() - chance) / (1 - chance) < c.c:
+                lost.append((same, left, right))
     assert not lost
 
 
-def test_small_pairs_in_pivot_rounds(spark, monkeypatch):
-    """Sets of 3 to 12 shingles at exactly three quarters, met in pivot rounds: all found."""
-    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+def test_small_pairs(spark):
+    """Sets of 3 to 12 shingles at exactly three quarters: all found."""
     rng, rows = random.Random(5), []
     for k in range(40):
         for same, extra in ((3, 1), (6, 2), (9, 3), (12, 4)):

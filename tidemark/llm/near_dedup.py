@@ -11,16 +11,15 @@ hash the register keeps the count of leading zeros (6 bits) and the mantissa aft
    shingles that stand in any member of another component. It is exact, counted on full sets, and no link to another component can
    share more. Documents that hold a part of a large group's text and words of their own beside it are ruled out by it at once,
    all together, in one pass over their shingles instead of a test against each member of the group.
-5. Pivot rounds over these buckets: some PIVOTS of the members
-   outside the bucket's largest component are paired with all members of other components, and leave the bucket afterwards. The
-   join itself drops pairs that their sizes, the bound or their lowest register bits rule out. What a pivot links no longer needs pairs
-   of its own; the number of pivots grows sixteenfold a round, so that members without any links end as well. In the end each pair
-   that shares a bucket was tested, ruled out or is known to be in one component. Nothing is capped.
+5. What the bound leaves outside its bucket's largest component is tested, on full sets, against all members of such buckets: in
+   blocks of such documents, each with an index from shingles to documents that counts a member's shared shingles with the whole
+   block at once. Only links come out, no pairs. Each pair that shares a bucket was then tested, ruled out by the bound, or
+   is in one component. Nothing is capped.
 6. Connected components over confirmed links (graph.py).
 
-A pair at the threshold of 0.75 shares a band with probability 1 - (1 - 0.75^4)^32 = 0.999995. The estimate's cut, and that of the lowest
-register bits, lies SIGMAS standard deviations below the threshold; the deviation follows from the registers that the smaller set
-fills by itself. Pairs with a set of fewer than LEAST_SET shingles are tested without these cuts.
+A pair at the threshold of 0.75 shares a band with probability 1 - (1 - 0.75^4)^32 = 0.999995. The estimate's cut lies SIGMAS standard
+deviations below the threshold; the deviation follows from the registers that the smaller set fills by itself. Pairs with a
+set of fewer than LEAST_SET shingles are tested without it; a pair that it rules out falsely meets again in step 5.
 Texts, not sets, travel to the verification: they are smaller. Only those of documents that share a bucket do.
 
 Cases: texts without words are linked with nothing. Fewer than five words are one shingle. Null doc_ids: a component_id is null if no
@@ -48,13 +47,13 @@ MANTISSA = 10
 SIGMAS, LEAST_SET = 6.0, 64
 #: Shingles that a task holds before it passes them on, and that a slot of the bound has on average.
 HELD, SLOT = 1 << 20, 1 << 19
-_MARKS = [f"s{i}" for i in range(BUCKETS // 32)]
-PIVOTS, MORE = 64, 16
+#: Documents and shingles of a block, and the members that one task holds against it, on average.
+BLOCK, BLOCK_SHINGLES, MEMBERS = 1024, 1 << 20, 4096
 #: Rows (at most 32 bytes of numbers) up to which they are broadcast to pick texts; beyond, texts are shuffled.
 MAX_BROADCAST = 500_000
 _PROBE = np.argsort(np.random.Generator(np.random.PCG64(5)).random((BUCKETS, BUCKETS)), axis=1)
 ROW = ["did", "tag", "tag2"]
-FEATURES = pa.schema([*[(c, pa.int64()) for c in ROW], ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), *[(c, pa.int64()) for c in _MARKS], ("bands", pa.list_(pa.int64()))])
+FEATURES = pa.schema([*[(c, pa.int64()) for c in ROW], ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -92,12 +91,6 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def marks(r: np.ndarray) -> np.ndarray:
-    """The two lowest bits of each register, 32 registers to a number."""
-    low = (r & np.uint16(3)).astype(np.uint8).reshape(-1, 4)
-    return (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).view(np.int64)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = [b.column(k).cast(pa.int64()) for k in range(3)]
@@ -106,9 +99,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             g = np.array([text.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             regs = [registers(s) if len(s) else np.zeros(0, np.uint16) for s in sets]
-            low = np.array([marks(r) if len(r) else np.zeros(len(_MARKS), np.int64) for r in regs], np.int64).reshape(-1, len(_MARKS))
             bands = [r.view(np.int64) for r in regs]
-            yield pa.RecordBatch.from_arrays([*[x.slice(i, len(sets)) for x in own], pa.array(n), pa.array(f), pa.array(g), *map(pa.array, low.T), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
+            yield pa.RecordBatch.from_arrays([*[x.slice(i, len(sets)) for x in own], pa.array(n), pa.array(f), pa.array(g), pa.array(bands, pa.list_(pa.int64()))], schema=FEATURES)
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -116,8 +108,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(did, tag, tag2, n, f, g, s0.., bands): size and fingerprint of the shingle set, the two lowest bits of all registers, and the registers, four to a number."""
-    return rows_of(docs).mapInArrow(_features, f"did long, tag long, tag2 long, n long, f long, g long, {' long, '.join(_MARKS)} long, bands array<long>")
+    """(did, tag, tag2, n, f, g, bands): size and fingerprint of the shingle set, and the registers, four to a number."""
+    return rows_of(docs).mapInArrow(_features, "did long, tag long, tag2 long, n long, f long, g long, bands array<long>")
 
 
 def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -191,7 +183,7 @@ def member_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: did, tag, tag2 (core.tags), n_shingles, and the least (did, tag, tag2) of its component."""
     feats = core.stash(features(docs), "features")
-    classes = feats.where("n > 0").groupBy("f", "g", "n").agg(F.min(F.struct(*ROW)).alias("own"), *[F.first(c).alias(c) for c in (*_MARKS, "bands")])
+    classes = feats.where("n > 0").groupBy("f", "g", "n").agg(F.min(F.struct(*ROW)).alias("own"), F.first("bands").alias("bands"))
     classes = core.stash(classes.withColumn("rep", F.xxhash64("f", "g", "n")), "classes")
     keys = classes.select("rep", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key"), "bands")
     after = [F.get("bands", F.pmod(F.col("band") + i, F.lit(BANDS))).alias(f"k{i}") for i in (1, 2, 3)]
@@ -199,25 +191,17 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     many = keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
     members = core.stash(keys.join(many, ["band", "key"]), "members")
     ids = core.stash(members.select("rep").distinct(), "member_ids")
-    reps = core.stash(_of(classes.select("rep", "own", "n", *_MARKS, "bands"), ids), "member_registers")
+    reps = core.stash(_of(classes.select("rep", "own", "n", "bands"), ids), "member_registers")
     texts = member_texts(docs, reps.select("rep", "own.*"))
     star = members.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     links = confirmed(star.unionByName(neighbours(members)).distinct(), reps, texts, percent)
     comp = core.stash(graph.components(links), "components")
-    small = reps.select("rep", "n", F.col("n").alias("most"), *_MARKS)
-    left, pivots, bounded = members.where("size > 2 and rep != least").select("band", "key", "rep"), PIVOTS, False
-    while True:
-        m = open_buckets(left, comp)
-        if m.isEmpty():
-            break
-        if not bounded:
-            small, bounded = core.stash(with_bound(small, m, texts), "bounds"), True
-        left, pairs = pivot_round(m, small, pivots, percent)
-        links = confirmed(pairs, reps, texts, percent)
+    m = open_buckets(members.where("size > 2 and rep != least").select("band", "key", "rep"), comp)
+    if not m.isEmpty():
+        links = core.stash(matched(bounded(with_bound(m, reps, texts), percent), texts, percent), "block_links")
         if not links.isEmpty():
             old = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comp = core.stash(graph.components(old.unionByName(links)), "components")
-        pivots *= MORE
     least = comp.join(classes.select(F.col("rep").alias("node"), "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
     comp = comp.join(least, "component").select(F.col("node").alias("rep"), "least")
     named = classes.select("f", "g", "n", "rep", "own").join(comp, "rep", "left").select("f", "g", "n", F.coalesce("least", "own").alias("least"))
@@ -255,13 +239,12 @@ def neighbours(members: DataFrame) -> DataFrame:
 
 def open_buckets(left: DataFrame, comp: DataFrame) -> DataFrame:
     """Members (band, key, rep, c) of the buckets whose members aren't in one component c yet, with the component that most of
-    the bucket is in and the number of members outside it."""
+    the bucket is in."""
     at = ["band", "key"]
     m = left.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", F.coalesce("component", "rep").alias("c"))
     per = m.groupBy(*at, "c").agg(F.count("*").alias("k"))
-    bulk = per.groupBy(*at).agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    bulk = bulk.select(*at, F.col("x.c").alias("bulk"), (F.col("all") - F.col("x.k")).alias("few"))
-    return core.stash(m.join(bulk, at), "open_buckets")
+    bulk = per.groupBy(*at).agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+    return core.stash(m.join(bulk.select(*at, F.col("x.c").alias("bulk")), at), "open_buckets")
 
 
 FOREIGN = "slot int, kind int, s binary, c binary, many binary"
@@ -352,45 +335,101 @@ def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], schema=schema)
 
 
-def with_bound(small: DataFrame, m: DataFrame, texts: DataFrame) -> DataFrame:
-    """small with `most` lowered, for members outside their buckets' largest components, to the number of their shingles that a member of
-    another component holds. Slots follow the shingles: a task holds the distinct ones of a slot, and a shingle that many
+def with_bound(m: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """m with n and `most`: for members outside their buckets' largest components, the number of their shingles that a member of
+    another component holds, n for others. Slots follow the shingles: a task holds the distinct ones of a slot, and a shingle that many
     documents share is sent once a task."""
     spark = m.sparkSession
     who = m.groupBy("rep").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("bulk")).alias("asks"))
-    who = core.stash(who.join(small.select("rep", "n"), "rep"), "bound_of")
+    who = core.stash(who.join(reps.select("rep", "n"), "rep"), "bound_of")
     slots = max(core.parts(spark), (who.agg(F.sum("n")).first()[0] or 0) // SLOT)
     d = who.join(texts, "rep").select("rep", "c", "asks", "text")
     got = d.mapInArrow(_shingles_by_slot(slots), FOREIGN).repartition(core.parts(spark), "slot").sortWithinPartitions("slot", "kind")
     got = got.mapInArrow(_foreign, "rep long, most long").groupBy("rep").agg(F.sum("most").alias("most"))
-    got = who.where("asks").select("rep").join(got, "rep", "left").select("rep", F.coalesce("most", F.lit(0).cast("long")).alias("least_of"))
-    return small.join(got, "rep", "left").select("rep", "n", F.coalesce("least_of", "n").alias("most"), *_MARKS)
+    got = who.join(got, "rep", "left").select("rep", "n", F.when(F.col("asks"), F.coalesce("most", F.lit(0).cast("long"))).otherwise(F.col("n")).alias("most"))
+    return m.join(got, "rep")
+
+
+def fits(shared, n, m, percent: int):  # noqa: ANN001, ANN201
+    """Whether sets of n and m members may be a link if they share so many."""
+    return (100 + percent) * shared >= percent * (n + m)
 
 
-def pivot_round(m: DataFrame, small: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What stays of open buckets (band, key, rep) without this round's pivots and what the bound rules out altogether, and the
-    pivots' pairs (u, v)."""
+def bounded(m: DataFrame, percent: int) -> DataFrame:
+    """(bulk, rep, c, n, most, out): of buckets, known by their largest component, the members that may have a link to another component,
+    and whether they are outside. Of what a member may be linked with in its bucket, a set as large as all it can share,
+    or the bucket's smallest set if that is larger, makes the most of it."""
     at = ["band", "key"]
-    # a link shares i shingles, i <= most, and percent * (n + other n) <= (100 + percent) * i; the other has max(i, least n of the bucket) at least
-    fits = lambda i, n, k: (100 + percent) * i >= percent * (n + k)
-    outside = F.col("c") != F.col("bulk")
-    m = m.join(small, "rep")
+    out = F.col("c") != F.col("bulk")
     low = m.groupBy(*at).agg(F.min("n").alias("low"))
-    m = m.join(low, at).where(~outside | fits(F.col("most"), F.col("n"), F.greatest("most", "low"))).drop("low")
-    m = core.stash(m.withColumn("h", F.when(outside, F.xxhash64("rep", F.lit(pivots)))), "bounded_buckets")
-    first = m.groupBy(*at).agg(F.min("h").alias("first"))
-    each = F.greatest(F.lit(1), F.floor(F.col("few") / pivots)).cast("long")
-    chosen = m.where("h is not null").join(first, at).where((F.col("h") == F.col("first")) | (F.pmod(F.col("h"), each) == 0))
-    chosen = core.stash(chosen.select(*at, *[F.col(x).alias(f"p_{x}") for x in ("rep", "c", "n", "most", *_MARKS)]), "pivots")
-    lanes = F.lit(0x5555555555555555)
-    x = [F.col(c).bitwiseXOR(F.col(f"p_{c}")) for c in _MARKS]
-    other = sum((F.bit_count(y.bitwiseOR(F.shiftright(y, 1)).bitwiseAND(lanes)) for y in x[1:]), F.bit_count(x[0].bitwiseOR(F.shiftright(x[0], 1)).bitwiseAND(lanes)))
-    share = percent / 100
-    may = (F.col("c") != F.col("p_c")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & fits(F.least("most", "p_most"), F.col("n"), F.col("p_n"))
-    may &= other <= BUCKETS * (1 - cut(F.least("n", "p_n"), share + (1 - share) / 4))  # by chance a quarter of two bits agree
-    pairs = m.join(chosen, at).where(may).select(F.greatest("rep", "p_rep").alias("u"), F.least("rep", "p_rep").alias("v")).distinct()
-    rest = m.select(*at, "rep").join(chosen.select(*at, F.col("p_rep").alias("rep")), [*at, "rep"], "left_anti")
-    return core.stash(rest, "left"), core.stash(pairs, "pivot_pairs")
+    m = m.join(low, at).where(~out | fits(F.col("most"), F.col("n"), F.greatest("most", "low"), percent))
+    still = m.groupBy(*at).agg(F.max(out).alias("any")).where("any").select(*at)
+    return core.stash(m.join(still, at).select("bulk", "rep", "c", "n", "most", out.alias("out")).distinct(), "bounded")
+
+
+def matched(d: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members outside and all members of their buckets. Those outside, per largest component, are dealt into
+    blocks, and the members into salts, so that no task holds more than a block: a member goes to each block, a block to each salt."""
+    of = d.groupBy("bulk").agg(
+        F.greatest(F.ceil(F.count(F.when(F.col("out"), 1)) / BLOCK), F.ceil(F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("long").alias("blocks"),
+        F.ceil(F.count("*") / MEMBERS).cast("long").alias("salts"),
+    )
+    d = d.join(of, "bulk")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block, salt = (F.pmod(F.xxhash64("rep", F.lit(i)), F.col(c)) for i, c in enumerate(("blocks", "salts")))
+    rows = ["bulk", "block", "salt", "kind", "rep", "c", "n", "most"]
+    asks = d.where("out").withColumn("block", block).withColumn("salt", upto("salts")).withColumn("kind", F.lit(0)).select(*rows)
+    told = d.withColumn("salt", salt).withColumn("block", upto("blocks")).withColumn("kind", F.lit(1)).select(*rows)
+    both = asks.unionByName(told).join(texts, "rep").select(*rows, "text")
+    both = both.repartition(core.parts(d.sparkSession), "bulk", "block", "salt").sortWithinPartitions("bulk", "block", "salt", "kind")
+    return both.mapInArrow(_match(percent), "u long, v long")
+
+
+def _match(percent: int):
+    """Over rows sorted by block, salt and kind: each member (kind 1) against all documents of the block (kind 0) at once."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def index(block: list) -> tuple:
+        rep, c, n, most = (np.array(x, np.int64) for x in list(zip(*block, strict=True))[:4])
+        s, of = np.concatenate([x[4] for x in block]), np.repeat(np.arange(len(block)), n)
+        order = np.argsort(s, kind="stable")
+        s, of = s[order], of[order]
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return rep, c, n, most, s[at], np.append(at, len(s)), of
+
+    def links(block: tuple, rep: int, c: int, n: int, most: int, s: np.ndarray) -> np.ndarray:
+        reps, cs, ns, mosts, keys, at, of = block
+        may = (cs != c) & fits(np.minimum(mosts, most), ns, n, percent) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n))
+        if not may.any():
+            return reps[:0]
+        i = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        i = i[keys[i] == s]
+        size = at[i + 1] - at[i]
+        posts = np.repeat(at[i] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(of[posts], minlength=len(reps))
+        return reps[may & fits(shared, ns, n, percent)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for b in batches:
+            bulk, blk, salt, kind, rep, c, n, most = (b.column(i).to_numpy().tolist() for i in range(8))
+            u, v = [], []
+            for i, sets in shingle_sets(b.column(8)):
+                for k, s in enumerate(sets, i):
+                    if (bulk[k], blk[k], salt[k]) != at:
+                        at, held, block = (bulk[k], blk[k], salt[k]), [], None
+                    if kind[k] == 0:
+                        held.append((rep[k], c[k], n[k], most[k], s))
+                    elif held or block:
+                        if block is None:
+                            block, held = index(held), []
+                        for x in links(block, rep[k], c[k], n[k], most[k], s).tolist():
+                            u.append(max(x, rep[k]))
+                            v.append(min(x, rep[k]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
