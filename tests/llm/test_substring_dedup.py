@@ -40,20 +40,52 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("width", [S.MAX_WIDTH, 1 << 16])
-def test_against_plain_python(spark, rows, width, monkeypatch):
-    if width == 1 << 16:
-        monkeypatch.setattr(S, "FLUSH", 50)
+@pytest.mark.parametrize("chunk", [S.CHUNK, 500])
+def test_against_plain_python(spark, rows, chunk, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", chunk)
     df = spark.createDataFrame([(d, t, 1, b"x") for d, t in rows], "doc_id long, text string, did int, AT binary").repartition(6)
-    got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df, width).collect())
+    got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df).collect())
     assert got == brute(rows)
 
 
 def test_saturated_sketch_loses_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(S, "width_of", lambda n: 64)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_sketch_filters_at_any_size(spark, n):
+    """Windows that pass are near those that are repeated, for blocks of one size, and texts stay where they are."""
     import numpy as np
 
-    monkeypatch.setattr(S, "sketch", lambda d, m: (1 << 16, np.full(1 << 14, 255, np.uint8)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rng = random.Random(n)
+    passage = [f"p{i}" for i in range(40)]
+    docs = [(d, " ".join([f"u{rng.randrange(10**9)}" for _ in range(500)] + (passage if d % 10 == 0 else []))) for d in range(n)]
+    chunks = S.chunked(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    size = sum(len(t) for _, t in docs)
+    found = S.repeats(chunks, size)
+    seen = sum(len(np.frombuffer(r.pos, np.int32)) for r in found.select("pos").collect())
+    repeated = n // 10 * 28
+    assert repeated <= seen <= 1.6 * repeated + 0.04 * 500 * n  # windows at the passage's edge have its minimizers
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert not any("Exchange" in x and "text" in x for x in plan.split("\n"))
+
+
+def test_rows_with_colliding_32_bit_hashes(spark):
+    a, b = "shared line\nA18054", "B10682"
+    w = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, w), (None, f"{a} {w}"), (None, b), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df).collect())
+    assert got == brute(rows)
+
+
+def test_a_long_text(spark):
+    w = [f"w{i}" for i in range(100_000)]
+    rows = [(1, " ".join(w[50_000:50_030])), (2, " ".join(w)), (3, " ".join(w[:20] * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df).collect()) == brute(rows)
 
 

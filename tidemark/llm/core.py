@@ -66,6 +66,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like stash(), bucketed by a column: what is grouped by it next to this table moves to the table's rows, which stay. The
+    catalog's entry goes at once; the files stay as those of stash() do."""
+    spark, at = df.sparkSession, uuid.uuid4().hex
+    table = f"tidemark_{name}_{at}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/tidemark/{at}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(table)
+    d = spark.table(table)
+    d.schema  # noqa: B018  resolves the table
+    spark.sql(f"DROP TABLE {table}")
+    return d
+
+
 def drop_stash(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what stash() wrote for df, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

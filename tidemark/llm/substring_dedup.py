@@ -1,19 +1,21 @@
 """Operator 10, substring dedup with a count-min prefilter: words within a 13-word window that also starts in a document
 with a smaller doc_id go.
 
-Pass 1 sketches, for each partition, in how many documents windows occur; the partition sketches are merged block by
-block. A window is sketched by its minimizer, the least hash of its 6-word parts: equal windows have equal minimizers, so
-the estimate is never below a window's count, and four times fewer keys fill the sketch. Only whether a count reaches 2
-matters, so merged counters shrink to a bit: two rows of `width` bits, where width follows the corpus (about 8 cells a
-key) up to MAX_WIDTH. Beyond, more windows pass the filter, which costs time and shuffle but changes no result.
+Rows are written once to a table of chunks: (s, r) is the chunk of some CHUNK bytes and the row in it, and the table is bucketed by s, so that
+what is found out about a chunk meets its texts without moving them.
 
-Pass 2 groups exactly, by 96-bit hashes, the windows estimated at 2 or more. Each task first combines its own: of a
-window's documents within a task all but the least surely lose it, so a window that a third of all documents hold is sent
-once a task, not once a document. What is left is grouped by window; positions go back to their documents.
+Pass 1 sketches, for each chunk, in how many documents windows occur; the chunks' sketches are merged block by
+block, and each block tells every chunk which of the chunk's cells reached 2. So the sketch is nowhere held as a whole: it grows with the
+corpus, some 8 cells a key in each of two rows, at some 2 bytes of traffic a word. A window is sketched by its minimizer, the least
+hash of its 6-word parts: equal windows have equal minimizers, so the estimate is never below a window's count, and four times fewer
+keys fill the sketch.
+
+Pass 2 groups exactly, by 96-bit hashes, the windows estimated at 2 or more. Each chunk first combines its own: of a
+window's documents within a chunk all but the least surely lose it, so a window that a third of all documents hold is sent
+once a chunk, not once a document. Windows travel packed, by ranges of their hash, each of some GROUP windows; positions go back to their chunks.
 
 Cases: null or empty texts have no words. Null doc_ids count as one document, after all others. Rows that repeat a doc_id
-are one document for the comparison, and each loses words by its own positions (rows are told apart by a hash of the text). Empty
-tables give empty results. Extra columns don't matter.
+are one document for the comparison, and each loses words by its own positions. Empty tables give empty results. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import core, text
 
 WINDOW, PART = 13, 6
-BLOCK = 1 << 16
-MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
-#: Cells a byte of text: 8 for each of some 0.22 minimizers a word of some 6 bytes.
+#: Bytes of text of a chunk, and windows that are grouped at once, on average.
+CHUNK, GROUP = 1 << 24, 1 << 20
+#: Cells a byte of text in each row: 8 for each of some 0.22 minimizers a word of some 6 bytes.
 CELLS_PER_BYTE = 0.3
-FLUSH = 1_000_000
+MIN_WIDTH = 1 << 16
 
 
 def _rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -67,190 +68,250 @@ def _cells(keys: np.ndarray, width: int) -> np.ndarray:
     return np.stack([keys & mask, (text.mix(keys ^ np.uint64(0x9E6C63D0876A9A47)) & mask) + np.uint64(width)])
 
 
-def _sketch(width: int):
-    schema = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) with the number s of their chunk and their row r in it."""
+    from pyspark import TaskContext
+
+    s, r, size = TaskContext.get().partitionId() << 32, 0, 0
+    for b in batches:
+        n = np.diff(np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[b.column(1).offset :][: b.num_rows + 1]).tolist()
+        ss, rs = [], []
+        for k in n:
+            if size >= CHUNK:
+                s, r, size = s + 1, 0, 0
+            ss.append(s)
+            rs.append(r)
+            r += 1
+            size += k
+        yield pa.RecordBatch.from_arrays([pa.array(ss, pa.int64()), pa.array(rs, pa.int32()), b.column(0).cast(pa.int64()), b.column(1)], names=["s", "r", "doc_id", "text"])
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(s, r, doc_id, text), written once and bucketed by s."""
+    d = core.pick(docs, "doc_id", "text").mapInArrow(_chunks, "s long, r int, doc_id long, text string")
+    return core.bucketed(d, "chunks", "s", core.parts(docs.sparkSession))
 
-    def flushed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _sketch(width: int, bits: int):
+    """Of each chunk, for each block of cells: the cells that its documents count up (once), and those that more than one does (twice)."""
+    schema = pa.schema([("block", pa.int32()), ("s", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
+
+    def flushed(s: int, held: list[np.ndarray]) -> pa.RecordBatch:
         cells = np.sort(_cells(np.concatenate(held), width).ravel())
-        new = np.flatnonzero(np.diff(cells, prepend=np.uint64(1 << 62)))
+        new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
         cells, two = cells[new], np.diff(np.append(new, len(cells))) > 1
-        block = (cells >> np.uint64(16)).astype(np.int32)
-        low = (cells & np.uint64(BLOCK - 1)).astype(np.uint16)
+        block = (cells >> np.uint64(bits)).astype(np.int32)
+        low = (cells & np.uint64((1 << bits) - 1)).astype(np.uint32)
         cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-        once = [low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        twice = [low[i:j][two[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], schema=schema)
+        pairs = list(zip(cut[:-1], cut[1:], strict=True))
+        once = [low[i:j].tobytes() for i, j in pairs]
+        twice = [low[i:j][two[i:j]].tobytes() for i, j in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(np.full(len(pairs), s)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        at, held = None, []
         for b in batches:
-            for _, _, data, off in text.portions(b.column(0)):
-                doc, _, _, _, keys = _windows(data, off)
-                if not len(keys):
-                    continue
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                doc, keys = doc[new], keys[new]
-                order = np.lexsort((keys, doc))  # a document counts once
-                doc, keys = doc[order], keys[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                held.append(keys[new])
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield from flushed(held)
-                    held, n = [], 0
+            ss = b.column(0).to_numpy()
+            cut = np.append(np.flatnonzero(np.concatenate([[True], ss[1:] != ss[:-1]])), len(ss)) if len(ss) else []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if ss[lo] != at:
+                    if held:
+                        yield flushed(at, held)
+                    at, held = int(ss[lo]), []
+                for _, _, data, off in text.portions(b.column(1).slice(lo, hi - lo)):
+                    doc, _, _, _, keys = _windows(data, off)
+                    if not len(keys):
+                        continue
+                    order = np.lexsort((keys, doc))  # a document counts once
+                    doc, keys = doc[order], keys[order]
+                    new = np.ones(len(keys), bool)
+                    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+                    held.append(keys[new])
         if held:
-            yield from flushed(held)
+            yield flushed(at, held)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by block: one row of bits a block, set where two documents or more were counted."""
-    schema = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
-    at, one, two = None, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(two).tobytes()], pa.binary())], schema=schema)
-
-    for b in batches:
-        for block, once, twice in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if block != at:
-                if at is not None and two.any():
-                    yield row()
-                at = block
-                one[:], two[:] = False, False
-            x = np.frombuffer(once, np.uint16)
-            two[x[one[x]]] = True
-            one[x] = True
-            two[np.frombuffer(twice, np.uint16)] = True
-    if at is not None and two.any():
-        yield row()
-
-
-def sketch(docs: DataFrame, max_width: int = MAX_WIDTH) -> tuple[int, np.ndarray]:
-    """The width of a row and the merged sketch: packed bits of both rows, width / 4 bytes (64 MB at MAX_WIDTH)."""
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = MIN_WIDTH
-    while width < min(n * CELLS_PER_BYTE, max_width):
-        width *= 2
-    partial = docs.select("text").mapInArrow(_sketch(width), "block int, once binary, twice binary")
-    merged = partial.repartition(core.parts(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    bits = np.zeros(width // 4, np.uint8)
-    for r in merged.toLocalIterator():
-        bits[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
-    return width, bits
-
-
-REPEATS = "h long, h2 int, did long, tag int, pos int, gone binary"
+def _merge(bits: int):
+    """Over rows sorted by block: for each chunk its cells of the block (block, s, hot) that two documents or more count up."""
+    schema = pa.schema([("block", pa.int32()), ("s", pa.int64()), ("hot", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, one, two = None, [], np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
 
-def _repeats(width: int, bits):
-    """Windows estimated to be repeated, combined within the task: rows (h, h2, did, tag, pos) of each one's least
-    document here, and rows (did, tag, gone) with the positions that a smaller document of this task settles."""
-    schema = pa.schema([("h", pa.int64()), ("h2", pa.int32()), ("did", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("gone", pa.binary())])
+        def answers() -> Iterator[pa.RecordBatch]:
+            found = [(s, x[two[x]]) for s, x in held]
+            found = [(s, x) for s, x in found if len(x)]
+            for _, x in held:
+                one[x] = False
+                two[x] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], schema=schema)
 
-    def flushed(held) -> Iterator[pa.RecordBatch]:
-        h, h2, did, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((did, h2, h))
-        a, b, d = h[order], h2[order], did[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.empty(len(a), bool)
-        gone[order] = d > least
-        keep = ~gone
-        if keep.any():
-            k = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(h2[keep]), pa.array(did[keep]), pa.array(tag[keep]), pa.array(pos[keep]), pa.nulls(k, pa.binary())], schema=schema)
-        if gone.any():  # still in the order of rows and positions
-            did, tag, pos = did[gone], tag[gone], pos[gone]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (tag[1:] != tag[:-1])])), len(did))
-            at = [pos[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            k, i = len(at), cut[:-1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(did[i]), pa.array(tag[i]), pa.nulls(k, pa.int32()), pa.array(at, pa.binary())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = bits.value
-        held, n = [], 0
         for b in batches:
-            dids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, _, data, off in text.portions(b.column(2)):
-                doc, pos, at, h, keys = _windows(data, off)
-                if not len(keys):
-                    continue
-                hot = np.ones(len(keys), bool)
-                for c in _cells(keys, width):
-                    hot &= (bit[(c >> np.uint64(3)).astype(np.int64)] >> (7 - (c & np.uint64(7)).astype(np.uint8))) & 1 > 0
-                if not hot.any():
-                    continue
-                at, doc = at[hot], doc[hot] + i
-                w = _rolling(h, WINDOW, 2)[at]
-                w2 = (_rolling(h, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                held.append((w, w2, dids[doc].astype(np.int64), tags[doc].astype(np.int32), pos[hot].astype(np.int32)))
-                n += len(at)
-                if n >= FLUSH:
-                    yield from flushed(held)
-                    held, n = [], 0
-        if held:
-            yield from flushed(held)
+            for block, s, once, twice in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if block != at:
+                    yield from answers()
+                    at, held = block, []
+                x = np.frombuffer(once, np.uint32)
+                two[x[one[x]]] = True
+                one[x] = True
+                two[np.frombuffer(twice, np.uint32)] = True
+                held.append((s, x))
+        yield from answers()
 
     return run
 
 
-@F.pandas_udf(T.BinaryType())
-def _bytes(pos):  # noqa: ANN001, ANN202
-    import pandas as pd
+def hot_cells(chunks: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(block, s, hot): the merged sketch's answers to the chunks, for blocks of 2^bits cells; bits."""
+    spark = chunks.sparkSession
+    bits = 16
+    while bits < 24 and (2 * width >> bits + 1) >= 4 * core.parts(spark):
+        bits += 1
+    partial = chunks.select("s", "text").mapInArrow(_sketch(width, bits), "block int, s long, once binary, twice binary")
+    merged = partial.repartition(core.parts(spark), "block").sortWithinPartitions("block").mapInArrow(_merge(bits), "block int, s long, hot binary")
+    return merged, bits
 
-    return pd.Series([np.asarray(x, np.int32).tobytes() for x in pos], dtype=object)
-
-
-def removals(docs: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
-    """(did, tag, at): for each row that loses words, the positions of its repeated windows, as packed int32 arrays."""
-    spark = docs.sparkSession
-    d = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"), "text")
-    width, bits = sketch(d, max_width)
-    shared = spark.sparkContext.broadcast(bits)
-    found = core.stash(d.mapInArrow(_repeats(width, shared), REPEATS), "windows")
-    least = F.min("did").over(Window.partitionBy("h", "h2"))
-    later = found.where("gone is null").select("h", "h2", "did", "tag", "pos", least.alias("least")).where("least < did")
-    later = later.groupBy("did", "tag").agg(F.collect_list("pos").alias("pos")).select("did", "tag", _bytes("pos").alias("at"))
-    both = later.unionByName(found.where("gone is not null").select("did", "tag", F.col("gone").alias("at")))
-    return both.groupBy("did", "tag").agg(F.collect_list("at").alias("at"))
 
+def width_of(n: int) -> int:
+    """Cells of a row of the sketch for so many bytes of text."""
+    width = MIN_WIDTH
+    while width < n * CELLS_PER_BYTE:
+        width *= 2
+    return width
+
+
+PACKED = "part int, s long, h binary, h2 binary, did binary, r binary, pos binary"
+
+
+def _repeats(width: int, bits: int, groups: int):
+    """Of a chunk's texts and the sketch's answers: windows estimated to be repeated, packed by part (range of the hash), of each one
+    its least document here; and, without hashes, the rows and positions that a smaller document of this chunk settles."""
+    schema = pa.schema([("part", pa.int32()), ("s", pa.int64()), *[(c, pa.binary()) for c in ("h", "h2", "did", "r", "pos")]])
+
+    def packed(s: int, part: np.ndarray, *cols: np.ndarray | None) -> list[pa.RecordBatch]:
+        if not len(part):
+            return []
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        m = len(cut) - 1
+        own = [pa.nulls(m, pa.binary()) if x is None else pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in cols]
+        return [pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array(np.full(m, s)), *own], schema=schema)]
+
+    def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        s, none = key[0].as_py(), schema.empty_table()
+        if not answers.num_rows:
+            return none
+        hot = [np.frombuffer(x, np.uint32) + (np.uint64(k) << np.uint64(bits)) for k, x in zip(answers["block"].to_pylist(), answers["hot"].to_pylist(), strict=True)]
+        hot = np.sort(np.concatenate(hot).astype(np.uint64))
+        dids, rs, held = chunk["did"].to_numpy(), chunk["r"].to_numpy(), []
+        for i, _, data, off in text.portions(chunk["text"].combine_chunks()):
+            doc, pos, at, h, keys = _windows(data, off)
+            if not len(keys):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))  # neighbours share their minimizer
+            ok = np.ones(len(new), bool)
+            for c in _cells(keys[new], width):
+                ok &= hot[np.minimum(np.searchsorted(hot, c), len(hot) - 1)] == c
+            ok = np.repeat(ok, np.diff(np.append(new, len(keys))))
+            if ok.any():
+                at, doc = at[ok], doc[ok] + i
+                w2 = (_rolling(h, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32)
+                held.append((_rolling(h, WINDOW, 2)[at], w2, dids[doc], rs[doc], pos[ok].astype(np.int32)))
+        if not held:
+            return none
+        h, h2, did, r, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((did, h2, h))
+        h, h2, did, r, pos = h[order], h2[order], did[order], r[order], pos[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+        gone = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
+        part = lambda x: ((x >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)  # noqa: E731  in the order of x
+        keep = ~gone
+        out = packed(s, part(h[keep]), h[keep], h2[keep], did[keep], r[keep], pos[keep])
+        out += packed(s, np.full(gone.sum(), s % groups, np.int32), None, None, None, r[gone], pos[gone])
+        return pa.Table.from_batches(out, schema)
 
-CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return run
 
 
-@F.pandas_udf(CUT)
-def _cut(texts, at):  # noqa: ANN001, ANN202
-    import pandas as pd
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by part: (s, r, pos), packed by chunk, of windows that a smaller document holds as well."""
+    schema = pa.schema([("s", pa.int64()), ("r", pa.binary()), ("pos", pa.binary())])
 
-    out = []
-    for t, p in zip(texts, at, strict=True):
+    def lost(held: list) -> Iterator[pa.RecordBatch]:
+        s = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+        h, h2, did, r, pos = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+        order = np.lexsort((did, h2, h))
+        a, b, d = h[order], h2[order], did[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        gone = np.sort(order[d > d[np.flatnonzero(new)][np.cumsum(new) - 1]])  # in the order of chunks again
+        if len(gone):
+            s, r, pos = s[gone], r[gone], pos[gone]
+            cut = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s))
+            own = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (r, pos)]
+            yield pa.RecordBatch.from_arrays([pa.array(s[cut[:-1]]), *own], schema=schema)
+
+    at, held = None, []
+    for b in batches:
+        for part, s, h, h2, did, r, pos in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            if part != at:
+                if held:
+                    yield from lost(held)
+                at, held = part, []
+            if h is None:
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([r], pa.binary()), pa.array([pos], pa.binary())], schema=schema)
+            else:
+                held.append((s, np.frombuffer(h, np.uint64), np.frombuffer(h2, np.uint32), np.frombuffer(did, np.int64), np.frombuffer(r, np.int32), np.frombuffer(pos, np.int32)))
+    if held:
+        yield from lost(held)
+
+
+def repeats(chunks: DataFrame, n: int) -> DataFrame:
+    """Windows of the chunks that pass the sketch (PACKED), for n bytes of text."""
+    width = width_of(n)
+    hot, bits = hot_cells(chunks, width)
+    groups = max(core.parts(chunks.sparkSession), int(n / 6 / GROUP))
+    own = chunks.select("s", "r", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
+    return own.groupBy("s").cogroup(hot.groupBy("s")).applyInArrow(_repeats(width, bits, groups), PACKED)
+
+
+def removals(chunks: DataFrame) -> DataFrame:
+    """(s, r, pos): rows of chunks and positions of their windows that a smaller document holds as well, as packed int32 arrays."""
+    n = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = repeats(chunks, n).repartition(core.parts(chunks.sparkSession), "part").sortWithinPartitions("part")
+    return found.mapInArrow(_grouped, "s long, r binary, pos binary")
+
+
+CUT = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def _cut(key: tuple, chunk: pa.Table, lost: pa.Table) -> pa.Table:  # noqa: ARG001
+    """The chunk's texts without what is lost."""
+    r, pos = (np.frombuffer(b"".join(lost[c].to_pylist()), np.int32) for c in ("r", "pos"))
+    order = np.argsort(r, kind="stable")
+    r, pos = r[order], pos[order]
+    at, n, gone, kept = chunk["r"].to_numpy(), [], [], []
+    first, last = np.searchsorted(r, at), np.searchsorted(r, at, "right")
+    for t, i, j in zip(chunk["text"].to_pylist(), first, last, strict=True):
         ws = t.encode().split() if t else []
-        gone = 0
-        if p is not None and len(p):
+        left = ws
+        if i < j:
             step = np.zeros(len(ws) + 1, np.int64)
-            pos = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in p]))
-            step[pos] += 1
-            step[pos + WINDOW] -= 1
-            keep = np.cumsum(step)[:-1] == 0
-            gone = len(ws) - int(keep.sum())
-            ws_kept = compress(ws, keep)
-        else:
-            ws_kept = ws
-        out.append((len(ws), gone, b" ".join(ws_kept).decode()))
-    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-
-def substring_dedup(docs: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
+            own = np.unique(pos[i:j])
+            step[own] += 1
+            step[own + WINDOW] -= 1
+            left = list(compress(ws, np.cumsum(step)[:-1] == 0))
+        n.append(len(ws))
+        gone.append(len(ws) - len(left))
+        kept.append(b" ".join(left).decode())
+    return pa.table({"doc_id": chunk["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())})
+
+
+def substring_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    d = core.pick(docs, "doc_id", "text")
-    r = removals(docs, max_width).select(F.col("did").alias("_did"), F.col("tag").alias("_tag"), "at")
-    on = (F.coalesce(d["doc_id"], F.lit(core.NO_ID)) == r["_did"]) & (F.hash(d["text"]) == r["_tag"])
-    return d.join(r, on, "left").select("doc_id", _cut("text", "at").alias("c")).select("doc_id", "c.*")
+    chunks = chunked(docs)
+    return chunks.groupBy("s").cogroup(removals(chunks).groupBy("s")).applyInArrow(_cut, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
