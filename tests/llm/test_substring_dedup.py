@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidemark.llm import chunks
 from tidemark.llm import substring_dedup as S
 
 
@@ -40,9 +41,9 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("chunk", [S.CHUNK, 500])
+@pytest.mark.parametrize("chunk", [1 << 24, 500])
 def test_against_plain_python(spark, rows, chunk, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(chunks, "CHUNK", chunk)
     df = spark.createDataFrame([(d, t, 1, b"x") for d, t in rows], "doc_id long, text string, did int, AT binary").repartition(6)
     got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in S.substring_dedup(df).collect())
     assert got == brute(rows)
@@ -62,9 +63,9 @@ def test_sketch_filters_at_any_size(spark, n):
     rng = random.Random(n)
     passage = [f"p{i}" for i in range(40)]
     docs = [(d, " ".join([f"u{rng.randrange(10**9)}" for _ in range(500)] + (passage if d % 10 == 0 else []))) for d in range(n)]
-    chunks = S.chunked(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    table = S.chunked(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
     size = sum(len(t) for _, t in docs)
-    found = S.repeats(chunks, size)
+    found = S.repeats(table, size)
     seen = sum(len(np.frombuffer(r.pos, np.int32)) for r in found.select("pos").collect())
     repeated = n // 10 * 28
     assert repeated <= seen <= 1.6 * repeated + 0.04 * 500 * n  # windows at the passage's edge have its minimizers

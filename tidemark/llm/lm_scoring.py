@@ -1,281 +1,188 @@
 """Operator 6, cross-entropy difference of two matched n-gram models.
 
-Target model: all trusted documents. Background model: the whole corpus. Both share one vocabulary, the words that
-the target has MIN_COUNT times or more (all else is one unknown word), and one set of bigrams of such words, those that the corpus
-has MIN_PAIRS times or more, in the target or not. With c the counts, N the tokens and V the vocabulary's size:
-  P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(v, w) + KAPPA P(w)) / (c(v) + KAPPA), where c(v, w) = 0 for bigrams that aren't listed:
-each model backs off by its own KAPPA / (c(v) + KAPPA). The first word of a text and words after an unknown one score by P(w). A
-document's score is the mean over its tokens of target loss less background loss; the lower, the closer it is to the target.
-Losses are whole micro-nats, so that sums don't depend on their order.
-
-Plan: three scans of the text without a shuffle of it: counts of words in target and corpus, counts of the bigrams of the vocabulary
-(both combined within the task), scores. Vocabulary and bigrams are each broadcast up to MAX_BROADCAST rows; beyond, what a document
-looks up is shuffled to them. cross_entropy_difference() is the older form, with the target's bigrams alone and without back-off factors.
-
-Cases: null and empty texts have no tokens and a null score. Without trusted documents all n-grams are unknown and scores are 0.
-Rows that repeat a doc_id are told apart by a hash of the text; identical rows give one row each. Null doc_ids count as
-one. Empty tables give empty results. Extra columns don't matter.
+Target model: all trusted documents. Background model: the whole corpus. Both share one vocabulary, the words that the target has
+MIN_COUNT times or more; all other words are one, the unknown word. With c the counts, N the tokens, V the vocabulary's size, and c(v .)
+the times that v has a word after it:
+  P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(v w) + KAPPA P(w)) / (c(v .) + KAPPA).
+Both are proper distributions over the vocabulary and the unknown word, for each v, the unknown word included. The first word of a text
+scores by P(w). A document is scored by what the rest of the corpus holds: its own counts are taken from the background's and, if it is
+trusted, from the target's. Its score is the mean over its tokens of target loss less background loss; the lower, the closer it is to the
+target. Losses are whole micro-nats, so that sums don't depend on their order.
+
+Plan (chunks.py): texts are written once in chunks. Each chunk sends its distinct words with their counts to blocks of the hash space, which
+add them up and answer each chunk's own words; then its distinct bigrams likewise; then it scores its documents with the answers. No model is held
+or broadcast as a whole, at any size: a task holds a chunk or a block, and a frequent n-gram is sent once a chunk.
+
+Cases: null and empty texts have no tokens and a null score. Without trusted documents all words are unknown and scores are 0.
+Rows that repeat a doc_id are rows of their own; all rows of a trusted id are trusted, null ids aren't. Empty tables give empty
+results. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import core, text
+from tidemark.llm import chunks, core, text
 from tidemark.llm.quality_rules import trusted
 
-MIN_COUNT, MIN_PAIRS, KAPPA = 2, 2, 8.0
-#: Model rows (16 bytes of data each) up to which they are broadcast.
-MAX_BROADCAST = 3_000_000
-#: Words that a task holds before it counts them.
-HELD = 1 << 19
-
-
-def _grams(text: Column) -> Column:
-    """For each token: hash of the word before (null for the first), of the word, of both."""
-    one = F.transform(core.words(F.lower(text)), lambda w: F.xxhash64(w))
-    return core.let(one, lambda u: F.transform(u, lambda w, i: F.struct(F.get(u, i - 1).alias("v"), w.alias("u"), F.when(i > 0, F.xxhash64(F.lit(2), F.get(u, i - 1), w)).alias("b"))))
-
-
-def tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    d = docs.select(*keep, F.explode(_grams(F.coalesce("text", F.lit("")))).alias("g"))
-    return d.select(*keep, "g.*")
-
-
-def _keys(t: DataFrame) -> DataFrame:
-    """Both n-grams of each token as rows (key, v, u); v and u are null for unigrams."""
-    null = F.lit(None).cast("long")
-    rows = F.array(F.struct(F.col("u").alias("key"), null.alias("v"), null.alias("u")), F.struct(F.col("b").alias("key"), "v", "u"))
-    return t.select(F.explode(rows).alias("x")).select("x.*").where("key is not null")
-
-
-def model(docs: DataFrame, ids: DataFrame, min_count: int = MIN_COUNT, min_pairs: int = MIN_PAIRS) -> tuple[DataFrame, int, int]:
-    """(key, loss): target less background loss of each listed n-gram in micro-nats; that of the unknown word; rows."""
-    d = core.pick(docs, "doc_id", "text")
-    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    target = d.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    listed = _keys(tokens(target)).groupBy("key").agg(F.count("*").alias("ct"), F.first("v").alias("v"), F.first("u").alias("u")).where(f"ct >= if(u is null, {min_count}, {max(min_count, min_pairs)})")
-    listed = core.stash(listed, "target_counts")
-    rows = listed.count()
-    keys = listed.select("key")
-    keys = F.broadcast(keys) if rows <= MAX_BROADCAST else keys
-    corpus = _keys(tokens(d)).select("key").join(keys, "key").groupBy("key").agg(F.count("*").alias("cb"))
-    counts = core.stash(listed.join(corpus, "key", "left").withColumn("cb", F.coalesce("cb", "ct")), "counts")
-    size = lambda x: x.agg(F.sum(core.n_words(F.col("text")))).first()[0] or 0
-    nt, nb, vocabulary = size(target), size(d), counts.where("u is null").count()
-    one = counts.where("u is null").select("key", "ct", "cb", *[((F.col(c) + 1) / float(n + vocabulary + 1)).alias(p) for c, p, n in (("ct", "pt", nt), ("cb", "pb", nb))])
-    # a bigram is listed with both its words: they are at least as frequent
-    two = counts.where("u is not null").join(one.select(F.col("key").alias("u"), "pt", "pb"), "u").join(one.select(F.col("key").alias("v"), F.col("ct").alias("vt"), F.col("cb").alias("vb")), "v")
-    p = [(F.col(c) + KAPPA * F.col(q)) / (F.col(v) + KAPPA) for c, q, v in (("ct", "pt", "vt"), ("cb", "pb", "vb"))]
-    loss = lambda t, b: F.round(1e6 * (F.log(b) - F.log(t))).cast("long").alias("loss")
-    both = one.select("key", loss(F.col("pt"), F.col("pb"))).unionByName(two.select("key", loss(*p)))
-    known = counts.where("u is null").agg(F.sum("ct").alias("t"), F.sum("cb").alias("b")).first()
-    gone = [max(n - (k or 0), 0) + 1 for n, k in ((nt, known.t), (nb, known.b))]
-    unknown = round(1e6 * (math.log(gone[1] / (nb + vocabulary + 1)) - math.log(gone[0] / (nt + vocabulary + 1))))
-    return core.stash(both, "model"), unknown if rows else 0, rows
-
-
-def scores(docs: DataFrame, losses: DataFrame, unknown: int, rows: int) -> DataFrame:
-    """(did, tag, n_tokens, n_listed, loss): sums over tokens."""
-    d = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"), "text")
-    m = F.broadcast(losses) if rows <= MAX_BROADCAST else losses
-    t = tokens(d, "did", "tag").drop("v")
-    t = t.join(m.select(F.col("key").alias("b"), F.col("loss").alias("l2")), "b", "left").join(m.select(F.col("key").alias("u"), F.col("loss").alias("l1")), "u", "left")
-    return t.groupBy("did", "tag").agg(F.count("*").alias("n"), F.count("l2").alias("n2"), F.sum(F.coalesce("l2", "l1", F.lit(unknown))).alias("loss"))
+MIN_COUNT, KAPPA = 2, 8.0
+#: Trusted ids (8 bytes) up to which they are broadcast; beyond, documents are shuffled to them.
+MAX_BROADCAST = 2_000_000
+#: Stands for the hash of all words outside the vocabulary.
+UNKNOWN = np.uint64(0x9B1D5F0A7C3E2468)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, n_listed (tokens that score as bigrams), score (nats per token, null
-    without tokens)."""
-    losses, unknown, rows = model(docs, trusted(labels))
-    s = scores(docs, losses, unknown, rows)
-    d = core.pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"))
-    # rows that are identical added up their tokens alike: the quotients stay
-    copies = d.groupBy("did", "tag").agg(F.count("*").alias("copies"))
-    s = s.join(copies, ["did", "tag"])
-    d = d.join(s, ["did", "tag"], "left")
-    n = lambda c: F.coalesce((F.col(c) / F.col("copies")).cast("long"), F.lit(0).cast("long"))
-    return d.select("doc_id", n("n").alias("n_tokens"), n("n2").alias("n_listed"), (F.col("loss") / F.col("n") / 1e6).alias("score"))
-
-
-def _rows(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
-
-
-def _ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each word its row, whether a word of its text is before it, the hash of that one and its own."""
-    for i, _, data, off in text.portions(texts):
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, of each word its row from there, whether one of its text is before it, its hash), in portions."""
+    for i, j, data, off in text.portions(texts):
         starts, ends, first = text.words(data, off)
-        u = text.word_hashes(data, starts, ends).view(np.int64)
-        row = i + np.repeat(np.arange(len(off) - 1), np.diff(first))
-        after = np.zeros(len(u), bool)
+        row = np.repeat(np.arange(j - i), np.diff(first))
+        after = np.zeros(len(row), bool)
         after[1:] = row[1:] == row[:-1]
-        yield row, after, np.roll(u, 1), u
+        yield i, j - i, row, after, text.word_hashes(data, starts, ends)
 
 
 def _pair(v: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return text.mix((v.view(np.uint64) ^ (v.view(np.uint64) >> np.uint64(29))) * text._BASE + u.view(np.uint64)).view(np.int64)
+    return text.mix((v ^ (v >> np.uint64(29))) * np.uint64(0xA24BAED4963EE407) + u)
+
 
+def _counted(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how many of them are true in each of the masks."""
+    keys = np.concatenate([k for k, _ in held])
+    masks = [np.concatenate(m) for m in zip(*[m for _, m in held], strict=True)]
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    return keys[order][at], np.stack([np.add.reduceat(m[order].astype(np.int64), at) for m in masks], 1)
 
-def _context(v: np.ndarray) -> np.ndarray:
-    return text.mix(~v.view(np.uint64)).view(np.int64)
 
+def _words(blocks: int):
+    """Of a chunk: its words with ct, cb (occurrences in target and corpus) and xt, xb (those with a word after them)."""
 
-def _at(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of x in sorted keys, -1 where it is none of them."""
-    if not len(keys):
-        return np.full(len(x), -1)
-    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[i] == x, i, -1)
+    def run(key: tuple, chunk: pa.Table) -> pa.Table:
+        own, held = chunk["own"].to_numpy(), []
+        for i, _, row, after, h in _tokens(chunk["text"].combine_chunks()):
+            told, context = own[row + i], np.append(after[1:], False)
+            held.append((h, [told, np.ones(len(h), bool), told & context, context]))
+        keys, n = _counted(held) if any(len(k) for k, _ in held) else (np.zeros(0, np.uint64), np.zeros((0, 4), np.int64))
+        return chunks.asked(key[0].as_py(), keys, n, blocks)
 
+    return run
 
-WORDS, PAIRS, USES = "u long, ct long, cb long", "v long, u long, ct long, cb long", "did long, tag int, key long, n long"
 
+def _totals(n: np.ndarray) -> list[int]:
+    """Of a block's words: those in the vocabulary, their four counts, and the counts of all."""
+    listed = n[n[:, 0] >= MIN_COUNT]
+    return [len(listed), *listed.sum(axis=0).tolist(), *n.sum(axis=0).tolist()]
 
-def _counts(pairs: bool, vocabulary=None):
-    """Counts of words, or of bigrams (of the vocabulary where it is given), in target and corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = None if vocabulary is None else vocabulary.value[0], []
+class Chunk:
+    """A chunk's words and their answers: tokens as hashes in which all unknown words are one."""
 
-        def counted() -> pa.RecordBatch:
-            v, u, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            _, at, inv = np.unique(_pair(v, u) if pairs else u, return_index=True, return_inverse=True)
-            n = [np.bincount(x, minlength=len(at)).astype(np.int64) for x in (inv[own], inv)]
-            return _rows(PAIRS, v[at], u[at], *n) if pairs else _rows(WORDS, u[at], *n)
+    def __init__(self, table: pa.Table, answers: pa.Table):
+        self.texts = table["text"].combine_chunks()
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for *_, h in _tokens(self.texts)]]))
+        self.n = chunks.sums(answers, 4)
+        self.known = self.n[:, 0] >= MIN_COUNT
 
-        for b in batches:
-            told = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for row, after, v, u in _ngrams(b.column(0)):
-                ok = after if pairs else np.ones(len(u), bool)
-                if known is not None:
-                    listed = _at(known, u) >= 0
-                    ok = ok & listed & np.roll(listed, 1)
-                held.append((v[ok], u[ok], told[row[ok]]))
-                if sum(len(x[1]) for x in held) >= HELD:
-                    yield counted()
-        if held:
-            yield counted()
+    def tokens(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As _tokens, with each token's place among the words (-1 for unknown ones)."""
+        for i, rows, row, after, h in _tokens(self.texts):
+            at = np.searchsorted(self.words, h)
+            known = self.known[at]
+            yield i, rows, row, after, np.where(known, h, UNKNOWN), np.where(known, at, -1)
 
-    return run
 
+def _pairs(blocks: int):
+    """Of a chunk: its bigrams with their counts in target and corpus."""
 
-def _pair_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Loss of listed bigrams, and by how much it differs from that of the back-off."""
-    for b in batches:
-        x = {n: b.column(n).to_numpy() for n in b.schema.names}
-        t, g = ((x[c] + KAPPA * x[p]) / (x[v] + KAPPA) for c, p, v in (("ct", "pt", "vt"), ("cb", "pb", "vb")))
-        loss = np.round(1e6 * (np.log(g) - np.log(t))).astype(np.int64)
-        yield _rows("key long, loss long, extra long", _pair(x["v"], x["u"]), loss, loss - x["l1"] - x["back"])
-
-
-def _context_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield _rows("key long, loss long, pair long", _context(b.column(0).to_numpy()), b.column(1).to_numpy(), np.zeros(b.num_rows, np.int64))
-
-
-def _scored(words, pairs, unknown: int):
-    """Sums of each document: by words, and by bigrams where these are given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.num_rows
-            n, n2, loss = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
-            for row, after, v, u in _ngrams(b.column("text")):
-                each = np.full(len(u), unknown, np.int64)
-                if words is not None and len(words.value[0]):
-                    keys, l1, back = words.value
-                    iu = _at(keys, u)
-                    iv = np.where(after, np.roll(iu, 1), -1)
-                    each = np.where(iu >= 0, l1[iu], unknown) + np.where(iv >= 0, back[iv], 0)
-                    if pairs is not None and len(pairs.value[0]):
-                        both = np.flatnonzero((iu >= 0) & (iv >= 0))
-                        i = _at(pairs.value[0], _pair(v[both], u[both]))
-                        both, i = both[i >= 0], i[i >= 0]
-                        each[both] = pairs.value[1][i]
-                        n2 += np.bincount(row[both], minlength=m)
-                n += np.bincount(row, minlength=m)
-                np.add.at(loss, row, each)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("did"), b.column("tag"), pa.array(n), pa.array(n2), pa.array(loss)], names=["doc_id", "did", "tag", "n", "n2", "loss"])
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        own, held = table["own"].to_numpy(), []
+        for i, _, row, after, h, _ in Chunk(table, answers).tokens():
+            k = np.flatnonzero(after)
+            held.append((_pair(h[k - 1], h[k]), [own[row[k] + i], np.ones(len(k), bool)]))
+        keys, n = _counted(held) if any(len(k) for k, _ in held) else (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
+        return chunks.asked(key[0].as_py(), keys, n, blocks)
 
     return run
 
 
-def _uses(words):
-    """(did, tag, key, n): bigrams of the vocabulary in each document; without a vocabulary also words and contexts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            did, tag = b.column("did").to_numpy(), b.column("tag").to_numpy()
-            for row, after, v, u in _ngrams(b.column("text")):
-                if words is None:
-                    key, at = np.concatenate([_pair(v[after], u[after]), u, _context(v[after])]), np.concatenate([row[after], row, row[after]])
-                else:
-                    known = _at(words.value[0], u) >= 0
-                    ok = after & known & np.roll(known, 1)
-                    key, at = _pair(v[ok], u[ok]), row[ok]
-                if not len(key):
-                    continue
-                o = np.lexsort((key, at))
-                key, at = key[o], at[o]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
-                yield _rows(USES, did[at[new]], tag[at[new]], key[new], np.diff(np.r_[new, len(key)]))
+def _own(row: np.ndarray, x: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """For each token how many tokens of its row have the same x (only those where count is true)."""
+    order = np.lexsort((x, row))
+    new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (x[order][1:] != x[order][:-1])]) if len(x) else np.zeros(0, bool)
+    n = np.add.reduceat(np.ones(len(x), np.int64) if count is None else count[order].astype(np.int64), np.flatnonzero(new)) if len(x) else np.zeros(0, np.int64)
+    out = np.empty(len(x), np.int64)
+    out[order] = n[np.cumsum(new) - 1]
+    return out
+
+
+def probabilities(c: np.ndarray, n: np.ndarray, size: int, c2: np.ndarray, x: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """P of tokens from the counts of the word, of all tokens, of the bigram and of the word before as context, own ones taken off."""
+    p = (c + 1) / (n + size + 1)
+    return np.where(after, (c2 + KAPPA * p) / (x + KAPPA), p)
+
+
+SCORED = "doc_id long, n_tokens long, n_listed long, score double"
+
+
+def _scored(total: list[int]):
+    """Of a chunk's documents, from the answers to its words (kind 1) and bigrams (kind 2): tokens, those in the vocabulary, score."""
+    size, listed, every = total[0], total[1:5], total[5:]
+    rest = [a - b for a, b in zip(every, listed, strict=True)]  # of the unknown word
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:  # noqa: ARG001
+        kind = answers["kind"].to_numpy()
+        chunk, pairs = Chunk(table, answers.filter(pa.array(kind == 1))), chunks.sums(answers.filter(pa.array(kind == 2)), 2)
+        own, m = table["own"].to_numpy(), table.num_rows
+        n, known, loss = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        counts = np.concatenate([chunk.n, [rest]])  # -1, the unknown word, is the last
+        parts, keys = list(chunk.tokens()), np.zeros(0, np.uint64)
+        pair = [_pair(h[np.flatnonzero(after) - 1], h[after]) for *_, after, h, _ in parts]
+        keys = np.unique(np.concatenate([keys, *pair]))
+        for (i, rows, row, after, h, at), p in zip(parts, pair, strict=True):
+            if not len(h):
+                continue
+            size_of = np.bincount(row, minlength=rows)
+            before, k = np.roll(at, 1), np.flatnonzero(after)
+            two = np.zeros((len(h), 2), np.int64)
+            two[k] = pairs[np.searchsorted(keys, p)]
+            mine2 = np.zeros(len(h), np.int64)
+            mine2[k] = _own(row[k], p)
+            mine1, context = _own(row, at), np.append(after[1:], False)
+            minex = np.roll(_own(row, at, context), 1)
+            each = []
+            for model, off in ((0, own[row + i].astype(np.int64)), (1, 1)):
+                c, x = counts[at, model] - off * mine1, counts[before, 2 + model] - off * minex
+                each.append(np.log(probabilities(c, every[model] - off * size_of[row], size, two[:, model] - off * mine2, x, after)))
+            micro = np.rint(1e6 * (each[1] - each[0])).astype(np.int64)
+            n[i : i + rows] = size_of
+            known[i : i + rows] = np.bincount(row, at >= 0, rows).astype(np.int64)
+            np.add.at(loss, row + i, micro)
+        score = np.where(n > 0, loss / np.maximum(n, 1) / 1e6, np.nan)
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": n, "n_listed": known, "score": pa.array(score, from_pandas=True)})
 
     return run
 
 
-def _shared(spark: SparkSession, df: DataFrame, key: str):
-    """A table of longs, sorted by its key, as arrays on all executors."""
-    t = df.toArrow()
-    o = np.argsort(t[key].to_numpy())
-    return spark.sparkContext.broadcast([t[c].to_numpy()[o] for c in df.columns])
-
-
-def matched_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, n_listed (tokens that score as bigrams), score (nats per token, null
-    without tokens)."""
-    spark, ids = docs.sparkSession, trusted(labels)
-    d = core.pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_tokens, n_listed (tokens in the vocabulary), score (nats per token, null without tokens)."""
+    ids = trusted(labels).withColumn("own", F.lit(True))
     ids = F.broadcast(ids) if ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else ids
-    told = d.join(ids.withColumn("own", F.lit(True)), "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
-    total = lambda x, *by: x.groupBy(*by).agg(F.sum("ct").alias("ct"), F.sum("cb").alias("cb"))
-    counts = total(told.mapInArrow(_counts(False), WORDS), "u")
-    # all words below the cutoff become one, null
-    counts = core.stash(total(counts.withColumn("u", F.when(F.col("ct") >= MIN_COUNT, F.col("u"))), "u"), "word_counts")
-    n = counts.agg(F.sum("ct").alias("t"), F.sum("cb").alias("b"), F.count("u").alias("v")).first()
-    size = [float((k or 0) + n.v + 1) for k in (n.t, n.b)]
-    rest = counts.where("u is null").first()
-    gone = [k + 1 for k in ((rest.ct, rest.cb) if rest else (0, 0))]
-    micro = lambda c: F.round(1e6 * c).cast("long")
-    unknown = round(1e6 * (math.log(gone[1] / size[1]) - math.log(gone[0] / size[0]))) if n.v else 0
-    one = counts.where("u is not null").withColumns({p: (F.col(c) + 1) / s for p, c, s in (("pt", "ct", size[0]), ("pb", "cb", size[1]))})
-    one = one.select("u", "ct", "cb", "pt", "pb", micro(F.log("pb") - F.log("pt")).alias("l1"), micro(F.log(F.col("ct") + KAPPA) - F.log(F.col("cb") + KAPPA)).alias("back"))
-    one = core.stash(one, "words")
-    words = _shared(spark, one.select("u", "l1", "back"), "u") if n.v <= MAX_BROADCAST else None
-    small = F.broadcast if words else lambda x: x
-    two = total(told.mapInArrow(_counts(True, words), PAIRS), "v", "u").where(F.col("cb") >= MIN_PAIRS)
-    two = two.join(small(one.select("u", "pt", "pb", "l1")), "u").join(small(one.select(F.col("u").alias("v"), F.col("ct").alias("vt"), F.col("cb").alias("vb"), "back")), "v")
-    two = core.stash(two.mapInArrow(_pair_losses, "key long, loss long, extra long"), "pairs")
-    pairs = _shared(spark, two.select("key", "loss"), "key") if words and two.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else None
-    s = d.mapInArrow(_scored(words, pairs, unknown), "doc_id long, did long, tag int, n long, n2 long, loss long")
-    if not pairs:
-        model = two.select("key", F.col("extra").alias("loss"), F.lit(1).cast("long").alias("pair"))
-        if not words:
-            model = model.unionByName(one.select(F.col("u").alias("key"), (F.col("l1") - unknown).alias("loss"), F.lit(0).cast("long").alias("pair"))).unionByName(one.select("u", "back").mapInArrow(_context_keys, "key long, loss long, pair long"))
-        # a context or a bigram with an unknown word isn't in the model
-        more = d.mapInArrow(_uses(words), USES).join(model, "key").groupBy("did", "tag").agg(F.sum(F.col("n") * F.col("loss")).alias("l"), F.sum(F.col("n") * F.col("pair")).alias("p"))
-        # rows that are identical added up their uses alike: the quotients stay
-        more = more.join(d.groupBy("did", "tag").agg(F.count("*").alias("copies")), ["did", "tag"])
-        s = s.join(more, ["did", "tag"], "left").withColumns({"n2": F.coalesce((F.col("p") / F.col("copies")).cast("long"), "n2"), "loss": F.col("loss") + F.coalesce((F.col("l") / F.col("copies")).cast("long"), F.lit(0))})
-    return s.select("doc_id", F.col("n").alias("n_tokens"), F.col("n2").alias("n_listed"), (F.col("loss") / F.nullif(F.col("n"), F.lit(0).cast("long")) / 1e6).alias("score"))
+    d = core.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    table = chunks.chunked(d.join(ids, "doc_id", "left").select("doc_id", F.coalesce("own", F.lit(False)).alias("own"), "text"))
+    blocks = chunks.blocks(table)
+    words = core.stash(chunks.answered(table.groupBy("s").applyInArrow(_words(blocks), chunks.ASKED), _totals), "word_counts")
+    total = words.agg(*[F.coalesce(F.sum(F.get("total", F.lit(i))), F.lit(0).cast("long")) for i in range(9)]).first()
+    words = words.where("s is not null").drop("total").withColumn("kind", F.lit(1))
+    told = words.groupBy("s")
+    pairs = chunks.answered(table.groupBy("s").cogroup(told).applyInArrow(_pairs(blocks), chunks.ASKED)).drop("total").withColumn("kind", F.lit(2))
+    return table.groupBy("s").cogroup(words.unionByName(pairs).groupBy("s")).applyInArrow(_scored(list(total)), SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched_difference(core.read(spark, sf_dir, "documents"), core.read(spark, sf_dir, "labels"))
+    return cross_entropy_difference(core.read(spark, sf_dir, "documents"), core.read(spark, sf_dir, "labels"))

@@ -1,8 +1,8 @@
 """Operator 10, substring dedup with a count-min prefilter: words within a 13-word window that also starts in a document
 with a smaller doc_id go.
 
-Rows are written once to a table of chunks: (s, r) is the chunk of some CHUNK bytes and the row in it, and the table is bucketed by s, so that
-what is found out about a chunk meets its texts without moving them.
+Rows are written once to a table of chunks (chunks.py): (s, r) is the chunk and the row in it, and the table is bucketed by s, so that what
+is found out about a chunk meets its texts without moving them.
 
 Pass 1 sketches, for each chunk, in how many documents windows occur; the chunks' sketches are merged block by
 block, and each block tells every chunk which of the chunk's cells reached 2. So the sketch is nowhere held as a whole: it grows with the
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import core, text
+from tidemark.llm import chunks, core, text
 
 WINDOW, PART = 13, 6
-#: Bytes of text of a chunk, and windows that are grouped at once, on average.
-CHUNK, GROUP = 1 << 24, 1 << 20
+#: Windows that are grouped at once, on average.
+GROUP = 1 << 20
 #: Cells a byte of text in each row: 8 for each of some 0.22 minimizers a word of some 6 bytes.
 CELLS_PER_BYTE = 0.3
 MIN_WIDTH = 1 << 16
@@ -68,28 +68,9 @@ def _cells(keys: np.ndarray, width: int) -> np.ndarray:
     return np.stack([keys & mask, (text.mix(keys ^ np.uint64(0x9E6C63D0876A9A47)) & mask) + np.uint64(width)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) with the number s of their chunk and their row r in it."""
-    from pyspark import TaskContext
-
-    s, r, size = TaskContext.get().partitionId() << 32, 0, 0
-    for b in batches:
-        n = np.diff(np.frombuffer(b.column(1).cast(pa.large_string()).buffers()[1], np.int64)[b.column(1).offset :][: b.num_rows + 1]).tolist()
-        ss, rs = [], []
-        for k in n:
-            if size >= CHUNK:
-                s, r, size = s + 1, 0, 0
-            ss.append(s)
-            rs.append(r)
-            r += 1
-            size += k
-        yield pa.RecordBatch.from_arrays([pa.array(ss, pa.int64()), pa.array(rs, pa.int32()), b.column(0).cast(pa.int64()), b.column(1)], names=["s", "r", "doc_id", "text"])
-
-
 def chunked(docs: DataFrame) -> DataFrame:
     """(s, r, doc_id, text), written once and bucketed by s."""
-    d = core.pick(docs, "doc_id", "text").mapInArrow(_chunks, "s long, r int, doc_id long, text string")
-    return core.bucketed(d, "chunks", "s", core.parts(docs.sparkSession))
+    return chunks.chunked(core.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def _sketch(width: int, bits: int):
@@ -164,13 +145,13 @@ def _merge(bits: int):
     return run
 
 
-def hot_cells(chunks: DataFrame, width: int) -> tuple[DataFrame, int]:
+def hot_cells(table: DataFrame, width: int) -> tuple[DataFrame, int]:
     """(block, s, hot): the merged sketch's answers to the chunks, for blocks of 2^bits cells; bits."""
-    spark = chunks.sparkSession
+    spark = table.sparkSession
     bits = 16
     while bits < 24 and (2 * width >> bits + 1) >= 4 * core.parts(spark):
         bits += 1
-    partial = chunks.select("s", "text").mapInArrow(_sketch(width, bits), "block int, s long, once binary, twice binary")
+    partial = table.select("s", "text").mapInArrow(_sketch(width, bits), "block int, s long, once binary, twice binary")
     merged = partial.repartition(core.parts(spark), "block").sortWithinPartitions("block").mapInArrow(_merge(bits), "block int, s long, hot binary")
     return merged, bits
 
@@ -267,19 +248,19 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lost(held)
 
 
-def repeats(chunks: DataFrame, n: int) -> DataFrame:
+def repeats(table: DataFrame, n: int) -> DataFrame:
     """Windows of the chunks that pass the sketch (PACKED), for n bytes of text."""
     width = width_of(n)
-    hot, bits = hot_cells(chunks, width)
-    groups = max(core.parts(chunks.sparkSession), int(n / 6 / GROUP))
-    own = chunks.select("s", "r", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
+    hot, bits = hot_cells(table, width)
+    groups = max(core.parts(table.sparkSession), int(n / 6 / GROUP))
+    own = table.select("s", "r", F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
     return own.groupBy("s").cogroup(hot.groupBy("s")).applyInArrow(_repeats(width, bits, groups), PACKED)
 
 
-def removals(chunks: DataFrame) -> DataFrame:
+def removals(table: DataFrame) -> DataFrame:
     """(s, r, pos): rows of chunks and positions of their windows that a smaller document holds as well, as packed int32 arrays."""
-    n = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = repeats(chunks, n).repartition(core.parts(chunks.sparkSession), "part").sortWithinPartitions("part")
+    n = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = repeats(table, n).repartition(core.parts(table.sparkSession), "part").sortWithinPartitions("part")
     return found.mapInArrow(_grouped, "s long, r binary, pos binary")
 
 
@@ -310,8 +291,8 @@ def _cut(key: tuple, chunk: pa.Table, lost: pa.Table) -> pa.Table:  # noqa: ARG0
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    chunks = chunked(docs)
-    return chunks.groupBy("s").cogroup(removals(chunks).groupBy("s")).applyInArrow(_cut, CUT)
+    table = chunked(docs)
+    return table.groupBy("s").cogroup(removals(table).groupBy("s")).applyInArrow(_cut, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
