@@ -51,6 +51,36 @@ def test_against_plain_python(spark, rows, least, parts, batch):
     assert mine == want
 
 
+def test_rows_with_colliding_32_bit_hashes(spark):
+    line = "shared line"
+    rows = [(None, f"{line}\nA18054"), (None, "B10682"), *[(d, line) for d in range(1, 12)]]
+    got = {r.text: (r._dropped, r._kept) for r in L.applied(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()}
+    assert got["B10682"] == (None, None) and got[f"{line}\nA18054"] == (1, "A18054")
+
+
+def test_a_million_equal_lines_in_few_documents(spark, monkeypatch):
+    """Rows of one document don't pile up: all but HELD wait in the output, and stay or go by the run's documents."""
+    import pandas as pd
+
+    monkeypatch.setattr(L, "HELD", 1000)
+    n, size = 1_000_000, 10_000
+
+    def batches(docs):
+        for i in range(0, n, size):
+            did = np.arange(i, i + size) * docs // n
+            yield pd.DataFrame({"h": 5, "g": 6, "did": did, "tag": did, "tag2": did, "pos": np.int32(1), "lines": np.int32(1)})
+
+    for docs in (1, 9, 10):
+        out = pd.concat([x[["kind", "docs"]] for x in L._stream(10)(batches(docs))])
+        assert (out["kind"] == L.SEEN).sum() == 1 and out["docs"].max() == docs
+        assert (out["kind"] != L.SEEN).sum() == n and (out["kind"] == L.DROP).any() == (docs == 10)
+
+
+def test_spilled_runs(spark, rows, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 0)
+    test_against_plain_python(spark, rows, 10, 5, 7)
+
+
 def test_bitmaps(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.did: r for r in L.bitmaps(df, 10).collect()}

@@ -3,11 +3,12 @@ once, and the answer is a compressed keep bitmap for each document that loses li
 
 Ranges are cut on (hash, document), so that a line that a third of all documents hold is spread over many tasks. A
 stream knows the verdict of every run of equal hashes that begins and ends in its partition; of the first and the last
-it reports how many documents it saw, and rows that hang on the sum wait for it (fewer than `min_docs` documents' rows a run).
-A task holds one batch and these rows. Hashes are of 128 bits.
+it reports how many documents it saw, and rows that hang on the sum wait for it in the output. Rows of a run with fewer than `min_docs`
+documents are held, up to HELD of them; more wait in the output as well, and the run reports its documents when it ends. So
+a task holds one batch and HELD rows, also where one document has a line a million times. Hashes are of 128 bits.
 
 Cases: a null or empty text is one empty line; empty keys are never dropped. Rows that repeat a doc_id count as one document, and each
-gets its own bitmap, by the hash of its text; null doc_ids count as one document. Empty tables give empty results.
+gets its own bitmap, by 128 bits of its text (core.tags); null doc_ids count as one document. Empty tables give empty results.
 Extra columns don't matter, and lines that a document repeats all share one verdict.
 """
 
@@ -28,7 +29,10 @@ MIN_DOCS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 DROP, WAIT, SEEN = 0, 1, 2
-OUT = "kind byte, h long, g long, docs long, did long, tag int, pos int, lines int"
+ROW = ["did", "tag", "tag2"]
+OUT = "kind byte, h long, g long, docs long, did long, tag long, tag2 long, pos int, lines int"
+#: Rows of an open run that a task holds, and reports of runs (24 bytes) up to which they are broadcast.
+HELD, MAX_BROADCAST = 100_000, 500_000
 
 
 def key(line: Column) -> Column:
@@ -36,36 +40,47 @@ def key(line: Column) -> Column:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(did, tag, text): what tells rows apart in all steps; tag is a hash of the text."""
-    return docs.select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), F.hash("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    """(did, tag, tag2, text): what tells rows apart in all steps, and the text."""
+    return docs.select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), *core.tags(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    d = marked(docs).select("did", "tag", F.split("text", "\n").alias("a"))
-    d = d.select("did", "tag", F.size("a").alias("lines"), F.posexplode("a").alias("pos", "line"))
-    d = d.select("did", "tag", "lines", "pos", key(F.col("line")).alias("k")).where("k != ''")
-    return d.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"), "did", "tag", "pos", "lines")
+    d = marked(docs).select(*ROW, F.split("text", "\n").alias("a"))
+    d = d.select(*ROW, F.size("a").alias("lines"), F.posexplode("a").alias("pos", "line"))
+    d = d.select(*ROW, "lines", "pos", key(F.col("line")).alias("k")).where("k != ''")
+    return d.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"), *ROW, "pos", "lines")
 
 
 def _stream(min_docs: int):
     """Over one partition sorted by (h, g, did, ...): rows to drop, rows that wait, and what the outer runs saw."""
 
     def rows(kind: int, p: pd.DataFrame, docs: int = 0) -> pd.DataFrame:
-        return p.assign(kind=np.int8(kind), docs=np.int64(docs))[["kind", "h", "g", "docs", "did", "tag", "pos", "lines"]]
+        return p.assign(kind=np.int8(kind), docs=np.int64(docs))[["kind", "h", "g", "docs", *ROW, "pos", "lines"]]
 
     def seen(h: int, g: int, docs: int) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.int8([SEEN]), "h": [h], "g": [g], "docs": [docs], "did": [0], "tag": np.int32([0]), "pos": np.int32([0]), "lines": np.int32([0])})
+        none = {c: [0] for c in ROW} | {c: np.int32([0]) for c in ("pos", "lines")}
+        return pd.DataFrame({"kind": np.int8([SEEN]), "h": [h], "g": [g], "docs": [docs], **none})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # rows of the open run, while it has fewer than min_docs documents
+        held: list[pd.DataFrame] = []  # rows of the open run, while it has fewer than min_docs documents
+        spilled = False  # whether some of its rows wait in the output
         at: tuple | None = None  # its key
         n, last, outer = 0, None, True  # its documents, the latest of them, whether it is the partition's first
 
+        def hold(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal spilled
+            held.append(p)
+            if sum(map(len, held)) > HELD:
+                yield from (rows(WAIT, x) for x in held)
+                held.clear()
+                spilled = True
+
         def closed(end: bool) -> Iterator[pd.DataFrame]:
-            if outer or end:
+            if outer or end or spilled:
                 yield seen(*at, n)
-                if n < min_docs and held is not None and len(held):
-                    yield rows(WAIT, held)
+                if n < min_docs:
+                    yield from (rows(WAIT, x) for x in held)
+            held.clear()
 
         for p in batches:
             if not len(p):
@@ -83,12 +98,11 @@ def _stream(min_docs: int):
             if at == (h[0], g[0]):  # the open run goes on
                 docs[0] += n - (did[0] == last)
                 if docs[0] >= min_docs:
-                    if held is not None and len(held):
-                        yield rows(DROP, held)
-                    held = None
+                    yield from (rows(DROP, x) for x in held)
+                    held.clear()
                     yield rows(DROP, p.iloc[: end[0]])
                 else:
-                    held = pd.concat([held, p.iloc[: end[0]]])
+                    yield from hold(p.iloc[: end[0]].copy())
                 n, last, first, lo = int(docs[0]), did[end[0] - 1], 1, end[0]
             if first == len(begin):
                 continue
@@ -107,12 +121,11 @@ def _stream(min_docs: int):
                 yield rows(DROP, p.iloc[lo : begin[-1]][drop])
             outer = at is None and len(begin) == 1
             tail = p.iloc[begin[-1] :]
-            at, n, last = (h[-1], g[-1]), int(docs[-1]), did[-1]
+            at, n, last, spilled = (h[-1], g[-1]), int(docs[-1]), did[-1], False
             if n >= min_docs:
                 yield rows(DROP, tail)
-                held = None
             else:
-                held = tail.copy()
+                yield from hold(tail.copy())
         if at is not None:
             yield from closed(True)
 
@@ -120,14 +133,15 @@ def _stream(min_docs: int):
 
 
 def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(did, tag, pos, lines) of every line that goes."""
+    """(did, tag, tag2, pos, lines) of every line that goes."""
     spark = docs.sparkSession
-    lines = line_hashes(core.pick(docs, "doc_id", "text"))
-    ranged = lines.repartitionByRange(core.parts(spark), "h", "g", "did").sortWithinPartitions("h", "g", "did", "tag", "pos")
+    lines = core.stash(line_hashes(core.pick(docs, "doc_id", "text")), "line_hashes")  # read twice: ranges are cut on a sample
+    ranged = lines.repartitionByRange(core.parts(spark), "h", "g", "did").sortWithinPartitions("h", "g", *ROW, "pos")
     out = core.stash(ranged.mapInPandas(_stream(min_docs), OUT), "line_verdicts")
     total = out.where(f"kind = {SEEN}").groupBy("h", "g").agg(F.sum("docs").alias("docs")).where(f"docs >= {min_docs}").select("h", "g")
-    late = out.where(f"kind = {WAIT}").join(F.broadcast(total), ["h", "g"], "left_semi")  # two rows a partition at most
-    return out.where(f"kind = {DROP}").unionByName(late).select("did", "tag", "pos", "lines")
+    few = total.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # two a partition, and one for each HELD rows at most
+    late = out.where(f"kind = {WAIT}").join(F.broadcast(total) if few else total, ["h", "g"], "left_semi")
+    return out.where(f"kind = {DROP}").unionByName(late).select(*ROW, "pos", "lines")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -141,30 +155,33 @@ def _bitmap(at: pd.Series, lines: pd.Series) -> pd.Series:
 
 
 def bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The operator's result: (did, tag, lines, dropped, bitmap), bit i of the zlib-compressed bitmap set if line i stays;
+    """The operator's result: (did, tag, tag2, lines, dropped, bitmap), bit i of the zlib-compressed bitmap set if line i stays;
     documents that keep all their lines have no row."""
-    by = verdicts(docs, min_docs).groupBy("did", "tag").agg(F.collect_set("pos").alias("p"), F.max("lines").alias("lines"))
-    return by.select("did", "tag", "lines", F.size("p").alias("dropped"), _bitmap("p", "lines").alias("bitmap"))
+    by = verdicts(docs, min_docs).groupBy(*ROW).agg(F.collect_set("pos").alias("p"), F.max("lines").alias("lines"))
+    return by.select(*ROW, "lines", F.size("p").alias("dropped"), _bitmap("p", "lines").alias("bitmap"))
 
 
 @F.pandas_udf(T.StringType())
-def _keep(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    def one(t, b):
+def _keep(text: pd.Series, bitmap: pd.Series, n: pd.Series) -> pd.Series:
+    def one(t, b, n):
         if b is None:
             return None
         lines = t.split("\n")
+        if len(lines) != n:
+            raise ValueError(f"a bitmap of {int(n)} lines meets a text of {len(lines)}")
         keep = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), count=len(lines))
         return "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
 
-    return pd.Series([one(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
+    return pd.Series([one(t, b, k) for t, b, k in zip(text, bitmap, n, strict=True)], dtype=object)
 
 
 def applied(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the columns _dropped (null if none) and _kept (the text that stays, null if all of it does)."""
-    b = bitmaps(docs, min_docs).select(F.col("did").alias("_did"), F.col("tag").alias("_tag"), "dropped", "bitmap")
-    on = (F.coalesce(docs["doc_id"], F.lit(core.NO_ID)) == b["_did"]) & (F.hash(docs["text"]) == b["_tag"])
-    d = docs.join(b, on, "left").withColumn("_kept", _keep(F.when(F.col("bitmap").isNotNull(), docs["text"]), F.col("bitmap")))
-    return d.withColumnRenamed("dropped", "_dropped").drop("_did", "_tag", "bitmap")
+    b = bitmaps(docs, min_docs).select(*[F.col(c).alias(f"_{c}") for c in ROW], "dropped", "bitmap", F.col("lines").alias("_lines"))
+    own = [F.coalesce(docs["doc_id"], F.lit(core.NO_ID)), *core.tags(docs["text"])]
+    d = docs.join(b, [x == b[f"_{c}"] for c, x in zip(ROW, own, strict=True)], "left")
+    d = d.withColumn("_kept", _keep(F.when(F.col("bitmap").isNotNull(), docs["text"]), F.col("bitmap"), F.col("_lines")))
+    return d.withColumnRenamed("dropped", "_dropped").drop(*[f"_{c}" for c in ROW], "_lines", "bitmap")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
