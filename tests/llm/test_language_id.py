@@ -35,6 +35,43 @@ def test_forward_sums_all_segmentations():
         assert got[:, g] == pytest.approx([math.log(all_segmentations("▁" + w, table)) for w in words])
 
 
+def test_long_words_are_scored_whole():
+    """Words of 60 and 5,000 letters score as the whole forward sum, here in exact fractions of large integers."""
+    from fractions import Fraction
+
+    lattice, rng = L.Lattice(VOCAB), np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(len(VOCAB)), 2).T
+    for n in (60, 5000):
+        w = "▁" + "".join(rng.choice(list("abcz"), n))
+        got = L.word_scores([w[1:]], lattice, p)[0]
+        for g in range(2):
+            table = {x: Fraction(float(y)) for x, y in zip(VOCAB, p[:, g])}
+            a, scale = [Fraction(1)], 0.0
+            for i in range(1, len(w) + 1):
+                parts = [(k, w[i - k : i]) for k in range(1, min(4, i) + 1)]
+                new = sum(a[-k] * (table.get(x, Fraction(L.UNKNOWN) if len(x) == 1 else 0)) for k, x in parts)
+                a = [Fraction(float(x / new)) for x in a[-4:]] + [Fraction(1)]
+                scale += math.log(new)
+            assert got[g] == pytest.approx(scale, rel=1e-9)
+
+
+def test_long_and_short_variables_agree():
+    lattice, rng = L.Lattice(VOCAB), np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(len(VOCAB)), 2).T
+    x = L._probabilities(lattice.ids(["▁abzbabac" * 3, "▁cabababa" * 3]), p)
+    assert L.log_forward(x) == pytest.approx(np.log(L.forward(x)))
+    assert L.log_backward(x) == pytest.approx(np.log(L.backward(x)))
+
+
+def test_fit_learns_from_whole_words():
+    w = "ab" * 40 + "c" * 10
+    _, p = L.fit({"x": {"▁" + w: 3}, "y": {"▁" + w[:40]: 3}}, VOCAB, 3)
+    c = VOCAB.index("c")
+    assert p[c, 0] > 10 * p[c, 1]
+    with pytest.raises(FileNotFoundError):
+        L.pieces("/nowhere/no.model")
+
+
 def test_backward_agrees_and_em_raises_likelihood():
     lattice = L.Lattice(VOCAB)
     x = L._probabilities(lattice.ids(["▁abab", "▁baab"]), np.full((len(VOCAB), 1), 1 / len(VOCAB)))

@@ -4,9 +4,11 @@ The pieces of a fixed public vocabulary have a probability in each language; a w
 segmentations into pieces (forward algorithm), a text's the product over its words. The probabilities come from
 expectation maximisation over all segmentations (forward and backward), never from a best one.
 
-Fit: labelled rows of the folds to learn from; of each language some FIT_DOCS by a hash threshold, and of these the FIT_WORDS most
-frequent words, so that the fit is bounded. Prediction covers every word of every text: words are lower-cased, freed of
-what isn't a letter, and scored once a task and word in numpy batches (words of over 40 letters in parts of 40).
+Fit: labelled rows of the folds to learn from; of each language some FIT_DOCS by a hash threshold, with all their words, so that the fit
+is bounded by its rows. Prediction covers every word of every text: words are lower-cased, freed of
+what isn't a letter, and scored whole, once a task and word, in numpy batches; long words by forward variables that are scaled at each step.
+
+The vocabulary is the file `path` (VOCABULARY): a SentencePiece model of a public tokenizer, whose pieces alone are taken, not its scores.
 
 Cases: a null text or one without letters is 'und' with score 0. A null doc_id is neither held out nor learned from. Without
 labelled rows all is 'und'. Ties go to the first language by code point. Repeated rows, empty tables and extra columns don't matter.
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import core, text
 
+#: Where the vocabulary is unless languages() is told: piece_bpe_32k.model (see README).
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
-FIT_DOCS, FIT_WORDS, ROUNDS = 3000, 20_000, 4
-LONGEST, MAX_PIECE = 40, 12
+FIT_DOCS, ROUNDS = 3000, 4
+MAX_PIECE = 12
+#: Characters up to which the plain forward variables can't underflow: UNKNOWN to this power is far above the least number.
+PLAIN = 32
 UNKNOWN, SMOOTH = 1e-8, 0.01
 #: Words whose scores a task keeps; beyond, it starts anew.
 CACHE = 400_000
@@ -35,8 +40,12 @@ SLOTS = 1 << 21
 
 def pieces(path: str = VOCABULARY) -> list[str]:
     """Pieces of letters of the vocabulary, in lower case and without repeats; '\\u2581' marks a word's begin."""
+    import os
+
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"language identification needs a SentencePiece vocabulary; there is none at {path}")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()))
     return sorted({p for p in found if 0 < len(p) <= MAX_PIECE and all(c.isalpha() or c == "▁" for c in p)})
@@ -113,12 +122,35 @@ def backward(x: np.ndarray) -> np.ndarray:
     return z
 
 
+def log_forward(x: np.ndarray) -> np.ndarray:
+    """log a[:, i] of forward(), for any length: the last variables are kept in units of the newest one."""
+    b, n, m, g = x.shape
+    out, last = np.zeros((b, n + 1, g)), np.zeros((m, b, g))
+    last[0] = 1
+    for i in range(1, n + 1):
+        new = sum(last[k - 1] * x[:, i - k, k - 1] for k in range(1, min(i, m) + 1))
+        out[:, i] = out[:, i - 1] + np.log(new)
+        last[1:] = last[:-1] / new
+        last[0] = 1
+    return out
+
+
+def log_backward(x: np.ndarray) -> np.ndarray:
+    """log z[:, i] of backward(): the forward variables of the reversed word."""
+    b, n, m, g = x.shape
+    turned = np.zeros_like(x)
+    for k in range(m):
+        turned[:, : n - k, k] = x[:, : n - k, k][:, ::-1]
+    return log_forward(turned)[:, ::-1]
+
+
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
     n = np.array([len(w) for w in words])
     order = np.argsort(n, kind="stable")
     for same in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
-        for i in range(0, len(same), 2048):
-            yield same[i : i + 2048]
+        step = max(1, (1 << 16) // max(PLAIN, int(n[same[0]])) if len(same) else 1)
+        for i in range(0, len(same), step):
+            yield same[i : i + step]
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -132,13 +164,17 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
         for rows in _by_length(words):
             ids = lattice.ids([words[i] for i in rows])
             x = _probabilities(ids, p)
-            a, z = forward(x), backward(x)
-            scale = n[rows] / np.maximum(a[:, -1], 1e-300)
+            long = ids.shape[1] > PLAIN
+            a, z = (log_forward(x), log_backward(x)) if long else (forward(x), backward(x))
             for k in range(ids.shape[2]):
                 m = ids.shape[1] - k
                 i = ids[:, :m, k]
                 ok = i >= 0
-                e = (a[:, :m] * x[:, :m, k] * z[:, k + 1 : k + 1 + m] * scale[:, None])[ok]
+                if not ok.any():
+                    continue
+                w = np.nonzero(ok)[0]
+                before, here, then, whole = a[:, :m][ok], x[:, :m, k][ok], z[:, k + 1 : k + 1 + m][ok], a[w, -1]
+                e = here * (np.exp(before + then - whole) if long else before * then / whole) * n[rows][w]
                 for g in range(len(langs)):
                     seen[:, g] += np.bincount(i[ok], e[:, g], lattice.n)
         p = (seen + SMOOTH) / (seen + SMOOTH).sum(axis=0)
@@ -150,16 +186,13 @@ def normal(word: str) -> str:
 
 
 def word_scores(words: list[str], lattice: Lattice, p: np.ndarray) -> np.ndarray:
-    """Log-likelihoods (words, languages) of normalised words."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for k in range(0, len(w), LONGEST):
-            parts.append(("" if k else "▁") + w[k : k + LONGEST])
-            owner.append(i)
-    out, own = np.zeros((len(words), p.shape[1])), np.array(owner, np.int64)
-    for rows in _by_length(parts) if parts else ():
-        a = forward(_probabilities(lattice.ids([parts[i] for i in rows]), p))
-        np.add.at(out, own[rows], np.log(np.maximum(a[:, -1], 1e-300)))
+    """Log-likelihoods (words, languages) of normalised words; 0 for empty ones."""
+    some = [i for i, w in enumerate(words) if w]
+    whole = ["▁" + words[i] for i in some]
+    out, own = np.zeros((len(words), p.shape[1])), np.array(some, np.int64)
+    for rows in _by_length(whole) if whole else ():
+        x = _probabilities(lattice.ids([whole[i] for i in rows]), p)
+        out[own[rows]] = log_forward(x)[:, -1] if x.shape[1] > PLAIN else np.log(forward(x)[:, -1])
     return out
 
 
@@ -210,10 +243,8 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> dict[str, dict[str, int]]:
-    """Of each language: its most frequent normalised words in the bounded sample, with '\\u2581' before them."""
-    from collections import Counter
-
+def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, dict[str, int]]:
+    """Of each language: the normalised words of its rows in the bounded sample, with '\\u2581' before them."""
     d = core.pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not n:
@@ -221,13 +252,11 @@ def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_
     share = F.create_map(*[F.lit(x) for g, k in n.items() for x in (g, min(1.0, fit_docs / k))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     w = d.where(u < F.get(F.array(share), F.lit(0))[F.col("lang")]).select("lang", F.explode(core.words(F.lower("text"))).alias("w"))
-    w = core.stash(w.groupBy("lang", "w").agg(F.count("*").alias("n")), "fit_words")
-    found: dict[str, Counter] = {g: Counter() for g in n}
-    for g in n:
-        for r in w.where(F.col("lang") == g).orderBy(F.desc("n"), "w").limit(fit_words).collect():
-            if x := normal(r["w"])[: LONGEST]:
-                found[g]["▁" + x] += r["n"]
-    return {g: dict(c) for g, c in found.items() if c}
+    found: dict[str, dict[str, int]] = {g: {} for g in n}
+    for r in w.groupBy("lang", "w").agg(F.count("*").alias("n")).collect():  # words of some fit_docs rows a language
+        if x := normal(r["w"]):
+            found[r["lang"]]["▁" + x] = found[r["lang"]].get("▁" + x, 0) + r["n"]
+    return {g: c for g, c in found.items() if c}
 
 
 def languages(docs: DataFrame, path: str = VOCABULARY, **kw) -> DataFrame:
