@@ -28,6 +28,7 @@ def test_plain_text_is_not_escaped():
 
 def test_digests(spark):
     rows = [(1, 1, "assistant", HOSTILE[7]), (1, 0, "user", None)] + [(2, i, ["system", "user", "assistant"][i % 3], t) for i, t in enumerate(HOSTILE)]
+    rows += [(5, 0, "user", r"\5"), (5, 0, "user", r"\# z"), (6, 0, "user", "w " * 100_000 + "</turn>\n"), (6, 1, "assistant", "\\" * 50_001)]
     rows += [(None, 0, None, "x"), (None, 0, "assistant", "y"), (None, 0, "assistant", "y"), (3, None, "assistant", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int").repartition(5)
     got = {r.conv_id: tuple(r)[1:5] for r in C.digests(C.formatted(df)).collect()}

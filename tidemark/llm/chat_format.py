@@ -89,14 +89,14 @@ def rendered(role: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """The operator's output, a row for each turn: conv_id, turn, role, formatted, and loss_begin, loss_end (code points
+    """The operator's output, a row for each turn: conv_id, turn, role, text, formatted, and loss_begin, loss_end (code points
     within formatted that are trained on; both 0 for other roles)."""
     d = core.pick(conversations, "conv_id", "turn", "role", "text").withColumn("formatted", rendered("role", "text"))
     role = F.coalesce("role", F.lit(""))
     end = F.length("formatted") - len(CLOSE)
     begin = F.locate(COLON, F.col("formatted")) - 1 + len(COLON)  # roles that are trained on hold no colon
     loss = role.isin(*LOSS_ROLES)
-    return d.select("conv_id", "turn", "role", "formatted", F.when(loss, begin).otherwise(0).alias("loss_begin"), F.when(loss, end).otherwise(0).alias("loss_end"))
+    return d.select("conv_id", "turn", "role", "text", "formatted", F.when(loss, begin).otherwise(0).alias("loss_begin"), F.when(loss, end).otherwise(0).alias("loss_end"))
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -130,7 +130,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation, from formatted turns: n_turns, digests of turns and of what is trained on, lengths."""
-    d = turns.repartition(core.parts(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    d = turns.repartition(core.parts(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", F.coalesce("text", F.lit("")))
     return d.select("conv_id", "formatted", "loss_begin", "loss_end").mapInPandas(_digest, DIGEST)
 
 
