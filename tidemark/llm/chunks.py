@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm import core
 
 #: Bytes of text of a chunk, on average; a longer text is a chunk of its own.
-CHUNK = 1 << 24
+CHUNK = 10 << 20
 
 
 def _numbered(size: int):
@@ -48,7 +48,14 @@ def blocks(df: DataFrame) -> int:
     return 4 * core.parts(df.sparkSession)
 
 
-ASKED, ANSWERED = "block int, s long, keys binary, n binary", "block int, s long, bytes int, n binary, total array<long>"
+ASKED, ANSWERED = "block int, s long, keys binary, bytes int, n binary", "block int, s long, bytes int, n binary, total array<long>"
+_SIZES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
+def _packed(n: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers in as many bytes as the largest needs."""
+    size = next(k for k in _SIZES if k == 8 or n.max(initial=0) < 1 << 8 * k)
+    return size, n.astype(_SIZES[size]).tobytes()
 
 
 def asked(s: int, keys: np.ndarray, n: np.ndarray, blocks: int) -> pa.Table:
@@ -56,10 +63,10 @@ def asked(s: int, keys: np.ndarray, n: np.ndarray, blocks: int) -> pa.Table:
     block = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
     cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
     pairs = list(zip(cut[:-1], cut[1:], strict=True))
-    n = np.ascontiguousarray(n, np.uint32)
+    packed = [_packed(n[i:j]) for i, j in pairs]
     return pa.table({
-        "block": pa.array(block[cut[:-1]], pa.int32()), "s": pa.array(np.full(len(pairs), s), pa.int64()),
-        "keys": pa.array([keys[i:j].tobytes() for i, j in pairs], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in pairs], pa.binary()),
+        "block": pa.array(block[cut[:-1]], pa.int32()), "s": pa.array(np.full(len(pairs), s), pa.int64()), "keys": pa.array([keys[i:j].tobytes() for i, j in pairs], pa.binary()),
+        "bytes": pa.array([size for size, _ in packed], pa.int32()), "n": pa.array([x for _, x in packed], pa.binary()),
     })
 
 
@@ -72,12 +79,11 @@ def _answers(total):
         keys = np.concatenate([k for _, k, _ in held])
         order = np.argsort(keys, kind="stable")
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        sums = np.add.reduceat(np.concatenate([x for *_, x in held]).astype(np.int64)[order], np.flatnonzero(new), axis=0)
-        small = sums.max() < 1 << 32
-        own = np.empty((len(keys), sums.shape[1]), np.uint32 if small else np.int64)
+        sums = np.add.reduceat(np.concatenate([x.astype(np.int64) for *_, x in held])[order], np.flatnonzero(new), axis=0)
+        own = np.empty((len(keys), sums.shape[1]), np.int64)
         own[order] = sums[np.cumsum(new) - 1]
         cut = np.cumsum([0, *[len(k) for _, k, _ in held]])
-        rows = [(block, s, own.itemsize, own[i:j].tobytes(), None) for (s, *_), i, j in zip(held, cut[:-1], cut[1:], strict=True)]
+        rows = [(block, s, *_packed(own[i:j]), None) for (s, *_), i, j in zip(held, cut[:-1], cut[1:], strict=True)]
         if total:
             rows.append((block, None, None, None, total(sums)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -85,13 +91,13 @@ def _answers(total):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
-            for block, s, keys, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, s, keys, size, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if block != at:
                     if held:
                         yield answers(at, held)
                     at, held = block, []
                 k = np.frombuffer(keys, np.uint64)
-                held.append((s, k, np.frombuffer(n, np.uint32).reshape(len(k), -1)))
+                held.append((s, k, np.frombuffer(n, _SIZES[size]).reshape(len(k), -1)))
         if held:
             yield answers(at, held)
 
@@ -107,5 +113,5 @@ def answered(rows: DataFrame, total=None) -> DataFrame:
 def sums(answers: pa.Table, columns: int) -> np.ndarray:
     """The answers to all keys that a chunk asked about, in their order: int64, a row a key."""
     rows = sorted(zip(*(answers[c].to_pylist() for c in ("block", "bytes", "n")), strict=True))
-    found = [np.frombuffer(n, np.uint32 if size == 4 else np.int64).astype(np.int64) for _, size, n in rows]
+    found = [np.frombuffer(n, _SIZES[size]).astype(np.int64) for _, size, n in rows]
     return np.concatenate(found).reshape(-1, columns) if found else np.zeros((0, columns), np.int64)

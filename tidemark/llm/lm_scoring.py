@@ -32,7 +32,7 @@ from tidemark.llm.quality_rules import trusted
 
 MIN_COUNT, KAPPA = 2, 8.0
 #: Trusted ids (8 bytes) up to which they are broadcast; beyond, documents are shuffled to them.
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
 #: Stands for the hash of all words outside the vocabulary.
 UNKNOWN = np.uint64(0x9B1D5F0A7C3E2468)
 
@@ -55,7 +55,7 @@ def _counted(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarra
     """Distinct keys in order, and how many of them are true in each of the masks."""
     keys = np.concatenate([k for k, _ in held])
     masks = [np.concatenate(m) for m in zip(*[m for _, m in held], strict=True)]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     at = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
     return keys[order][at], np.stack([np.add.reduceat(m[order].astype(np.int64), at) for m in masks], 1)
 
@@ -112,10 +112,13 @@ def _pairs(blocks: int):
 
 
 def _own(row: np.ndarray, x: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
-    """For each token how many tokens of its row have the same x (only those where count is true)."""
-    order = np.lexsort((x, row))
-    new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (x[order][1:] != x[order][:-1])]) if len(x) else np.zeros(0, bool)
-    n = np.add.reduceat(np.ones(len(x), np.int64) if count is None else count[order].astype(np.int64), np.flatnonzero(new)) if len(x) else np.zeros(0, np.int64)
+    """For each token how many tokens of its row have the same x (only those where count is true), by 64-bit hashes of both."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    key = text.mix(x.astype(np.int64).view(np.uint64) if x.dtype != np.uint64 else x) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    n = np.add.reduceat(np.ones(len(x), np.int64) if count is None else count[order].astype(np.int64), np.flatnonzero(new))
     out = np.empty(len(x), np.int64)
     out[order] = n[np.cumsum(new) - 1]
     return out
