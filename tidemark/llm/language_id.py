@@ -28,7 +28,7 @@ from tidemark.llm import core, text
 #: Where the vocabulary is unless languages() is told: piece_bpe_32k.model (see README).
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
-FIT_DOCS, ROUNDS = 3000, 4
+FIT_DOCS, ROUNDS = 400, 4
 MAX_PIECE = 12
 #: Characters up to which the plain forward variables can't underflow: UNKNOWN to this power is far above the least number.
 PLAIN = 32
@@ -253,9 +253,10 @@ def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, dict[str
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     w = d.where(u < F.get(F.array(share), F.lit(0))[F.col("lang")]).select("lang", F.explode(core.words(F.lower("text"))).alias("w"))
     found: dict[str, dict[str, int]] = {g: {} for g in n}
-    for r in w.groupBy("lang", "w").agg(F.count("*").alias("n")).collect():  # words of some fit_docs rows a language
-        if x := normal(r["w"]):
-            found[r["lang"]]["▁" + x] = found[r["lang"]].get("▁" + x, 0) + r["n"]
+    for b in w.groupBy("lang", "w").agg(F.count("*").alias("n")).toArrow().to_batches():  # words of some fit_docs rows a language
+        for g, word, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if x := normal(word):
+                found[g]["▁" + x] = found[g].get("▁" + x, 0) + k
     return {g: c for g, c in found.items() if c}
 
 
