@@ -45,6 +45,28 @@ def test_long_runs_end_soon():
     assert [s[1] for s in P.base_spans(t) if s[1] == 0] == [0]
 
 
+def test_digits_that_touch_their_dots_end_soon():
+    import time
+
+    began = time.time()
+    assert P.base_spans("1" * 200_000 + "...") == P.base_spans("1" * 200_000 + ".2.3..") == []
+    assert P.base_spans("7." * 50_000)[:2] == [(0, 1, 7), (8, 1, 15)]
+    assert time.time() - began < 1
+
+
+def test_many_addresses_and_terms_of_one_document(spark):
+    """Thousands of both in one document, and the same in two copies: classes are paired, not names."""
+    one = " ".join(f"u{i}@x.org term{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}q{'klmnopqrst'[i // 260 % 10]}{chr(97 + i // 2600)}" for i in range(5000))
+    two = " ".join(f"v{i}@y.org" for i in range(500)) + " Quagga Zorilla"
+    rows = [(1, one), (2, two), (None, two), *[(10 + i, f"plain text {i}") for i in range(100)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    x, entities, terms, has, _ = P._disclosed(P.chunks.chunked(df.select("text")))
+    assert has.count() == 2 and x.count() == 1 and entities.count() == 500 and sorted(r.name for r in terms.collect()) == ["quagga", "zorilla"]
+    out = {r.doc_id: r for r in P.personal_data(df).collect()}
+    assert out[1].n_email == 5000 and "term" in out[1].sanitised
+    assert all("uagga" not in out[d].sanitised and out[d].n_email == 500 for d in (2, None))
+
+
 def brute_terms(rows):
     """{doc: {(term, entity)}} that disclose enough, by counting."""
     docs = {}

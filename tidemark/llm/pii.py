@@ -4,13 +4,16 @@ information-theoretic sanitisation finds what else reveals them.
 For an entity e and a term t of the same document, over the documents of the corpus: the information of e is
 IC(e) = log2(N / n(e)), and t discloses PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) of it. A term that meets e in
 MIN_TOGETHER documents or more and discloses at least GENERALISE of IC(e) is generalised, from REMOVE on removed, wherever it stands in
-a document with e. Terms are runs of MIN_TERM letters or more, lower-cased. All counts are over all documents, each counted once.
+a document with e. Terms are runs of MIN_TERM letters or more, lower-cased. All counts are over all documents; a document is a row.
 
-Plan: scan 1 finds entities and the terms of their documents; documents without any end there. Scan 2 counts the documents of
-the candidate terms, combined within the task. Scan 3 marks the spans. Candidates and verdicts travel by broadcast within
-a checked size and by shuffle beyond it.
+Plan: texts are written once in chunks (chunks.py), which number the rows. Scan 1 finds entities and, in documents with any, the terms, a row for
+each. Entities with the same documents are one class, and so are terms; only classes that meet are paired, so that a document with
+thousands of addresses and terms of its own makes no pairs of them. Entities of one document go at once, and pairs whose term is too
+frequent to reach the share are dropped in the join, exactly. Scan 2 counts the documents of the candidate terms, combined within the task.
+Scan 3 marks the spans: what is to be marked meets its chunk's texts, which stay. Candidate terms travel by broadcast within a checked size;
+beyond, scan 2 counts all terms.
 
-Cases: a null text is empty. Null doc_ids count as one document; rows that repeat a doc_id are judged by their own texts.
+Cases: a null text is empty. Null doc_ids and rows that repeat a doc_id are documents of their own.
 Without entities no term is marked. Empty tables give empty results. Extra columns don't matter.
 """
 
@@ -20,12 +23,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import core, text
+from tidemark.llm import chunks, core, text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -38,10 +40,8 @@ TERM = re.compile(r"[^\W\d_]+")
 _NOT = bytes(i for i in range(256) if chr(i) not in "0123456789@")
 MIN_TERM, MIN_TOGETHER = 1, 2
 GENERALISE, REMOVE = 0.8, 0.95
-#: Rows up to which candidates and verdicts are broadcast.
+#: Candidate terms up to which they are broadcast.
 MAX_BROADCAST = 300_000
-#: Meetings that a task holds before it passes them on.
-HELD = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +65,25 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
         at = t.find("@", max(at + 1, done))
 
 
+def _ips(run: str) -> Iterator[tuple[int, int]]:
+    """As IP finds them in a run of digits and dots, leftmost and not overlapping, in linear time: of numbers with one dot between them each
+    four are one."""
+    at = 0
+    for group in run.split(".."):  # an empty number between two dots parts what stands before from what stands after
+        begin, held = at, []
+        for number in group.split("."):
+            if number:
+                held.append((begin, begin + len(number)))
+                if len(held) == 4:
+                    if all(len(run[i:j].lstrip("0")) < 4 and int(run[i:j]) <= 255 for i, j in held):
+                        yield held[0][0], held[3][1]
+                    held = []
+            else:
+                held = []
+            begin += len(number) + 1
+        at += len(group) + 2
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     """(begin, kind, end) of the protected entities, sorted."""
     few = t.encode().translate(None, _NOT)  # only digits and '@' are left
@@ -74,7 +93,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     if len(few) > few.count(b"@"):
         for run in DOTTED.finditer(t):
             if run[0].count(".") >= 3:
-                found += [(run.start() + m.start(), 1, run.start() + m.end()) for m in IP.finditer(run[0]) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+                found += [(run.start() + i, 1, run.start() + j) for i, j in _ips(run[0])]
         for m in CARD.finditer(t):
             digits = re.sub(r"[ -]", "", m[0]) if len(m[0]) < 64 else ""
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -109,25 +128,19 @@ def beside(t: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, lis
         yield entity(t, span), terms
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("did", pa.int64()), ("entity", pa.string()), ("term", pa.string())])
+NAMES = "s long, r int, kind int, name string"
+ENTITY, WORD = 0, 1
 
-    def batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (s, r, text) with an entity: each entity and each term once."""
+    schema = pa.schema([("s", pa.int64()), ("r", pa.int32()), ("kind", pa.int32()), ("name", pa.string())])
     for b in batches:
-        rows = []
-        for did, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for s, r, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if t and (spans := base_spans(t)):
-                terms = sorted({x for x, _, _ in free_terms(t, spans)})
-                for e in sorted({entity(t, s) for s in spans}):
-                    rows.append((did, e, None))
-                    rows += [(did, e, x) for x in terms]
-                    if len(rows) >= HELD:
-                        yield batch(rows)
-                        rows = []
-        if rows:
-            yield batch(rows)
+                names = [sorted({entity(t, x) for x in spans}), sorted({x for x, _, _ in free_terms(t, spans)})]
+                n = sum(map(len, names))
+                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int64()), pa.array([r] * n, pa.int32()), pa.array([ENTITY] * len(names[0]) + [WORD] * len(names[1]), pa.int32()), pa.array(names[0] + names[1], pa.string())], schema=schema)
 
 
 def _term_counts(wanted):
@@ -168,68 +181,85 @@ def _term_counts(wanted):
     return run
 
 
+ROW = ["s", "r"]
+
+
+def _classes(names: DataFrame, least: int) -> DataFrame:
+    """(name, c, n): names of `least` rows or more, their class and number of rows. Names with the same rows have the same class."""
+    prints = [F.sum(F.xxhash64(F.lit(i), *ROW).cast("decimal(38,0)")) for i in (1, 2)]
+    n = names.groupBy("name").agg(F.count("*").alias("n"), *[x.alias(f"p{i}") for i, x in enumerate(prints)]).where(F.col("n") >= least)
+    return n.select("name", F.xxhash64("n", "p0", "p1").alias("c"), "n")
+
+
+def _disclosed(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(e, t, nt, share): classes t of terms with nt documents each that disclose `share` >= GENERALISE of a class e of entities; (name, e) of
+    the entities; (name, t, nt) of the terms; rows (s, r, e, ne) with these entities and (s, r, name) with terms."""
+    spark = table.sparkSession
+    names = core.stash(table.select(*ROW, "text").mapInArrow(_names, NAMES), "names")
+    total = float(table.count())
+    entities, terms = (names.where(F.col("kind") == k).select(*ROW, "name") for k in (ENTITY, WORD))
+    ec = core.stash(_classes(entities, MIN_TOGETHER).withColumnsRenamed({"c": "e", "n": "ne"}), "entity_classes")
+    has = core.stash(entities.join(ec, "name").select(*ROW, "e", "ne").distinct(), "rows_of_entities")
+    near = core.stash(terms.join(has.select(*ROW).distinct(), ROW, "left_semi"), "terms_near")
+    tc = core.stash(_classes(near, MIN_TOGETHER).withColumnsRenamed({"c": "t", "n": "least"}), "term_classes")
+    of = core.stash(near.join(tc, "name").select(*ROW, "t", "least").distinct(), "rows_of_terms")
+    # a term's documents number at least those with repeated entities: what can't reach the share is out, exactly
+    most = lambda net: F.col(net) * F.pow(F.lit(total) / F.col("ne"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    both = has.join(of, ROW).where(F.col("least") <= most("ne")).groupBy("e", "t").agg(F.count("*").alias("net"), F.first("ne").alias("ne"), F.first("least").alias("least"))
+    both = core.stash(both.where((F.col("net") >= MIN_TOGETHER) & (F.col("least") <= most("net"))), "class_meetings")
+    wanted = core.stash(tc.join(both.select("t").distinct(), "t").select("name", "t"), "wanted")
+    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    found = spark.sparkContext.broadcast(frozenset(wanted.select("name").toArrow()["name"].to_pylist())) if few else None
+    n = table.select(F.col("s").alias("did"), "text").mapInArrow(_term_counts(found), "term string, n long").groupBy("term").agg(F.sum("n").alias("nt"))
+    counted = core.stash(wanted.join(n.withColumnRenamed("term", "name"), "name"), "counted")  # terms of a class may differ in it
+    share = F.log2(F.lit(total) * F.col("net") / (F.col("ne") * F.col("nt"))) / F.log2(F.lit(total) / F.col("ne"))
+    x = both.join(counted.select("t", "nt").distinct(), "t").where(F.col("ne") < total).withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return core.stash(x.select("e", "t", "nt", "share"), "disclosures"), ec.select("name", "e"), counted, has, near
+
+
 def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, share): terms that disclose `share` >= GENERALISE of an entity's information."""
-    spark = docs.sparkSession
-    d = core.pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text")
-    met = core.stash(d.mapInArrow(_meetings, "did long, entity string, term string"), "meetings")
-    total = d.select("did").agg(F.count("*")).first()[0]
-    ent = met.where("term is null").groupBy("entity").agg(F.countDistinct("did").alias("ne"))
-    both = met.where("term is not null").distinct().groupBy("entity", "term").agg(F.count("*").alias("net")).where(f"net >= {MIN_TOGETHER}")
-    # a term's documents number at least those where it meets any entity: what can't reach the share is out, exactly
-    least = met.where("term is not null").select("did", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    most = F.col("net") * F.pow(F.lit(float(total)) / F.col("ne"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    both = core.stash(both.join(ent, "entity").join(least, "term").where(F.col("least") <= most).drop("least"), "meeting_counts")
-    terms = both.select("term").distinct()
-    few = terms.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    wanted = spark.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if few else None
-    n = d.mapInArrow(_term_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("nt"))
-    x = both.join(n, "term").withColumn("all", F.lit(float(total)))
-    share = F.log2(F.col("all") * F.col("net") / (F.col("ne") * F.col("nt"))) / F.log2(F.col("all") / F.col("ne"))
-    return x.where(F.col("all") > F.col("ne")).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    x, entities, terms, *_ = _disclosed(chunks.chunked(core.pick(docs, "text")))
+    return x.join(entities.withColumnRenamed("name", "entity"), "e").join(terms.withColumnRenamed("name", "term"), ["t", "nt"]).select("entity", "term", "share")
 
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, sanitised string"
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    for p in batches:
-        out = []
-        for did, t, told in zip(p["doc_id"].tolist(), p["text"], p["told"], strict=True):
-            t = t or ""
-            spans = base_spans(t)
-            n = [sum(k == i for _, k, _ in spans) for i in range(4)]
-            base = ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in spans)
-            new = {(i, k, j): f"[{KINDS[k].upper()}]" for i, k, j in spans}
-            if told is not None and len(told):
-                own, share = {entity(t, x) for x in spans}, {}
-                for x in told:
-                    if x["entity"] in own:
-                        share[x["term"]] = max(x["share"], share.get(x["term"], 0))
-                for x, i, j in free_terms(t, spans):
-                    if x in share:
-                        new[i, 4, j] = "" if share[x] >= REMOVE else "[TERM]"
-            every = sorted(new)
-            clean, at = [], 0
-            for i, k, j in every:
-                if i >= at:
-                    clean += [t[at:i], new[i, k, j]]
-                at = max(at, j)
-            out.append((None if did != did else did, *n, base, ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in every), "".join(clean) + t[at:]))
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+def _mark(key: tuple, chunk: pa.Table, told: pa.Table) -> pa.Table:  # noqa: ARG001
+    """The chunk's documents with their spans; told: the terms (r, name, share) to mark in each."""
+    shares: dict[int, dict[str, float]] = {}
+    for r, name, share in zip(*(told[c].to_pylist() for c in ("r", "name", "share")), strict=True):
+        shares.setdefault(r, {})[name] = share
+    out = []
+    for did, r, t in zip(*(chunk[c].to_pylist() for c in ("doc_id", "r", "text")), strict=True):
+        t, own = t or "", shares.get(r, {})
+        spans = base_spans(t)
+        n = [sum(k == i for _, k, _ in spans) for i in range(4)]
+        base = ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in spans)
+        new = {(i, k, j): f"[{KINDS[k].upper()}]" for i, k, j in spans}
+        if own:
+            new |= {(i, 4, j): "" if own[x] >= REMOVE else "[TERM]" for x, i, j in free_terms(t, spans) if x in own}
+        every = sorted(new)
+        clean, at = [], 0
+        for i, k, j in every:
+            if i >= at:
+                clean += [t[at:i], new[i, k, j]]
+            at = max(at, j)
+        out.append((did, *n, base, ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in every), "".join(clean) + t[at:]))
+    types = [*[pa.int64()] * 5, *[pa.string()] * 3]
+    cols = zip(*out, strict=True) if out else [[]] * len(types)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """A row for each document: counts of the base kinds, base and all spans (kind:begin:end), and the sanitised text."""
     d = core.pick(docs, "doc_id", "text")
-    told = core.stash(disclosures(d), "disclosures")
-    met = d.select(F.coalesce("doc_id", F.lit(core.NO_ID)).alias("did"), "text").mapInArrow(_meetings, "did long, entity string, term string").where("term is not null").distinct()
-    mine = met.join(told, ["entity", "term"]).groupBy("did").agg(F.collect_list(F.struct("entity", "term", "share")).alias("told"))
-    mine = core.stash(mine, "disclosed")
-    mine = F.broadcast(mine) if mine.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else mine
-    both = d.join(mine, F.coalesce(d["doc_id"], F.lit(core.NO_ID)) == mine["did"], "left").select("doc_id", "text", "told")
-    return both.mapInPandas(_mark, FOUND)
+    table = chunks.chunked(d.withColumn("doc_id", F.col("doc_id").cast("long")))
+    x, _, terms, has, near = _disclosed(table)
+    mine = has.join(x.select("e", "t", "nt", "share"), "e").groupBy(*ROW, "t", "nt").agg(F.max("share").alias("share"))
+    mine = near.join(terms, "name").join(mine, [*ROW, "t", "nt"]).select(*ROW, "name", "share")
+    return table.groupBy("s").cogroup(mine.groupBy("s")).applyInArrow(_mark, FOUND)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
