@@ -19,14 +19,7 @@ def byte_levenshtein(a: Column, b: Column) -> Column:
 
 
 def match_score(a: Column, b: Column) -> Column:
-    """T-02: sum over all shifts of equal bytes, that is the sum over bytes of the product of their counts."""
-    hx = lambda c: F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), F.lit(1))
-    other = hx(b)
-    return F.aggregate(hx(a), F.lit(0).cast("long"), lambda s, x: s + F.size(F.filter(other, lambda y: y == x)))
-
-
-def byte_match_score(a: Column, b: Column) -> Column:
-    """T-02 in linear time, for long texts."""
+    """T-02: sum over all shifts of equal bytes, that is the sum over bytes of the product of their counts; linear in the texts."""
 
     @F.pandas_udf(T.LongType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -65,7 +65,7 @@ def depth_first(edges: DataFrame, start: str) -> DataFrame:
     """N-04 on a tree or forest below start: preorder number of each node, children by id. A node's place is that of its
     path among all paths."""
     b = bfs(edges, edges.sparkSession.createDataFrame([(start,)], "id string"))
-    return b.select("id", F.array_join("path", "\x00").alias("p")).select("id", (F.row_number().over(Window.orderBy("p")) - 1).alias("place"))
+    return b.select("id", F.array_join("path", "\x00").alias("p")).select("id", (F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("place"))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -70,11 +70,6 @@ def tile_index(spark, sf_dir):
 
 
 def tile_cover(spark, sf_dir):
-    """C-17, G-11, Q20: addresses of the tiles of a box around each fiftieth point, zooms 3 to 6."""
-    return _cover(points(spark, sf_dir).where("id % 50 = 0"))
-
-
-def tile_cover_whole(spark, sf_dir):
     """C-17, G-11, Q20 for all points."""
     return _cover(points(spark, sf_dir))
 
@@ -144,12 +139,6 @@ def rect_overlap(spark, sf_dir):
 
 
 def near_pairs(spark, sf_dir):
-    """G-12, J-06: points of even and odd id within 3 degrees, by an equi-join on grid cells and their neighbours."""
-    p = points(spark, sf_dir)
-    return _near(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
-
-
-def near_pairs_whole(spark, sf_dir):
     """G-12, J-06: all pairs of points within 3 degrees, the lesser id first."""
     p = points(spark, sf_dir)
     return _near(p, p, "a < b")
@@ -230,9 +219,7 @@ QUERIES = {
     "tile_index": (tile_index, f"SELECT id, floor(fx)::BIGINT AS x, floor(fy)::BIGINT AS y, ((10::BIGINT << 58) | (floor(fy)::BIGINT << 29) | floor(fx)::BIGINT) AS key, round(lat, 4) AS lat, round(lon, 4) AS lon FROM {_TILE}"),
     "tile_cover": (tile_cover, f"""SELECT id, zoom, x, y, zoom || '/' || x || '/' || y AS path FROM (SELECT id, zoom, x, unnest(range(y0, y1 + 1)) AS y, y0, y1 FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM
         (SELECT id, zoom, greatest(floor((lon + 180) / 360 * n), 0)::BIGINT AS x0, least(floor((lon + 184) / 360 * n), n - 1)::BIGINT AS x1, greatest(floor((1 - asinh(tan(radians(lat + 2))) / pi()) / 2 * n), 0)::BIGINT AS y0, least(floor((1 - asinh(tan(radians(lat - 2))) / pi()) / 2 * n), n - 1)::BIGINT AS y1
-         FROM (SELECT *, pow(2.0, zoom) AS n FROM {POINTS_SQL}, (VALUES (3::BIGINT), (4), (5), (6)) t(zoom) WHERE id % 50 = 0)) WHERE x0 <= x1 AND y0 <= y1))"""),
-    "tile_cover_whole": (tile_cover_whole, None),
-    "near_pairs_whole": (near_pairs_whole, None),
+         FROM (SELECT *, pow(2.0, zoom) AS n FROM {POINTS_SQL}, (VALUES (3::BIGINT), (4), (5), (6)) t(zoom))) WHERE x0 <= x1 AND y0 <= y1))"""),
     "points_in_rect": (points_in_rect, f"SELECT id, lat BETWEEN -10 AND 30 AND lon BETWEEN 20 AND 60 AS inside, lat > -10 AND lat < 30 AS within_open, lon NOT BETWEEN 20 AND 60 AS outside FROM {POINTS_SQL}"),
     "points_in_polygon": (points_in_polygon, _polygon_sql()),
     "segment_distance": (segment_distance, f"""SELECT id, round(sqrt(pow(lon - (-50 + 130 * t), 2) + pow(lat - (-20 + 60 * t), 2)), 6) AS distance, round(sqrt(pow(lon - 1, 2) + pow(lat - 2, 2)), 6) AS to_point, round(sqrt(lon * lon + lat * lat), 6) AS length, round(atan2(lat, lon), 6) AS direction,
@@ -242,7 +229,7 @@ QUERIES = {
     "polygon_shape": (polygon_shape, f"""WITH p AS (SELECT id // 8 AS g, id, lon AS x, lat AS y, coalesce(lead(lon) OVER w, first(lon) OVER w) AS nx, coalesce(lead(lat) OVER w, first(lat) OVER w) AS ny FROM {POINTS_SQL} WINDOW w AS (PARTITION BY id // 8 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
         SELECT g, count(*)::INT AS n, round(sum(x * ny - nx * y) / 2, 4) + 0.0 AS area, sum(x * ny - nx * y) / 2 < -1e-6 AS clockwise, min(x) AS min_x, max(y) AS max_y FROM p GROUP BY g"""),
     "rect_overlap": (rect_overlap, f"SELECT a.id, a.lon <= b.lon + 20 AND b.lon <= a.lon + 20 AND a.lat <= b.lat + 15 AND b.lat <= a.lat + 15 AS overlap FROM {POINTS_SQL} a JOIN {POINTS_SQL} b ON b.id = a.id + 1"),
-    "near_pairs": (near_pairs, f"SELECT a.id AS a, b.id AS b FROM {POINTS_SQL} a JOIN {POINTS_SQL} b ON a.id % 2 = 0 AND b.id % 2 = 1 AND (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) <= 9"),
+    "near_pairs": (near_pairs, f"SELECT a.id AS a, b.id AS b FROM {POINTS_SQL} a JOIN {POINTS_SQL} b ON a.id < b.id AND (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) <= 9"),
     "transforms": (transforms, f"SELECT id, round(lon * 2.5 + 10, 6) AS x, round(lat * 2.5 - 4, 6) AS y, round(cos(radians(30)) * lon - sin(radians(30)) * lat, 6) AS rx, round(sin(radians(30)) * lon + cos(radians(30)) * lat, 6) AS ry, round(lon + 0.5 * lat, 6) AS shear, round(-lon, 6) AS mirror FROM {POINTS_SQL}"),
     "ellipsoid_radii": (ellipsoid_radii, f"""SELECT id, round(m, 3) AS meridian, round(v, 3) AS prime_vertical, round(sqrt(m * v), 3) AS mean FROM (SELECT id, {A * (1 - E2)!r}::DOUBLE / pow(w, 1.5) AS m, {A!r}::DOUBLE / sqrt(w) AS v FROM (SELECT id, 1 - {E2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat)) AS w FROM {POINTS_SQL}))"""),
     "meridian_arc": (meridian_arc, _arc_sql()),

@@ -113,11 +113,6 @@ def retain_take(spark, sf_dir):
 
 
 def point_order(spark, sf_dir):
-    """L-01, L-07: the first ten points by x, then y."""
-    return points(spark, sf_dir).orderBy("lon", "lat", "id").limit(10).select("id", "lon", "lat")
-
-
-def point_order_whole(spark, sf_dir):
     """L-01, L-07: all points with their ranks by x, then y: a range sort, and within each part the ranks of the parts before."""
     path = _shared(spark)
     points(spark, sf_dir).orderBy("lon", "lat", "id").select("id", "lon", "lat", F.monotonically_increasing_id().alias("at")).write.parquet(path)
@@ -216,15 +211,15 @@ QUERIES = {
     "track_points": (track_points, "SELECT o_custkey, count(*) AS points, count(DISTINCT o_orderkey) AS tracks FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey"),
     "zipped": (zipped, "WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT a.user_id, a.k, a.value AS a, b.value AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'click' AND b.event_type = 'view'"),
     "retain_take": (retain_take, "SELECT CASE WHEN coalesce(TRY_CAST(substring(p_brand, 7, 2) AS INT) > 20, false) THEN 'taken' ELSE 'kept' END AS side, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY 1"),
-    "point_order": (point_order, f"SELECT id, lon, lat FROM {POINTS_SQL} ORDER BY lon, lat, id LIMIT 10"),
-    "point_order_whole": (point_order_whole, None),
+    "point_order": (point_order, f"SELECT id, lon, lat, row_number() OVER (ORDER BY lon, lat, id) AS rank FROM {POINTS_SQL}"),
     "range_steps": (range_steps, "SELECT p_partkey, unnest(range(p_size::BIGINT, 51, 7)) AS v FROM part WHERE p_size <= 50"),
     "keyed_union": (keyed_union, "SELECT n_nationkey, CASE WHEN n_nationkey < 15 THEN 'a ' ELSE 'b ' END || n_name AS name FROM nation"),
     "graph_bfs_levels": (graph_bfs, f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), b AS (SELECT 'r0' AS id, 0::BIGINT AS level, 'r0' AS path UNION ALL SELECT 'r1', 0, 'r1' UNION ALL SELECT e.dst, b.level + 1, b.path || '>' || e.dst FROM b JOIN e ON e.src = b.id) SELECT * FROM b"""),
     "graph_roots": (graph_roots, f"WITH e AS (SELECT * FROM {_EDGES}) SELECT DISTINCT src AS id, 'root' AS kind FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT DISTINCT dst, 'leaf' FROM e WHERE dst NOT IN (SELECT src FROM e)"),
     "graph_updown": (graph_updown, f"WITH e AS (SELECT * FROM {_EDGES}) SELECT id FROM (SELECT 'n3' AS id UNION SELECT 'n4' UNION SELECT dst FROM e WHERE src IN ('n3', 'n4') UNION SELECT src FROM e WHERE dst IN ('n3', 'n4'))"),
     "graph_apsp": (graph_apsp, f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), b AS (SELECT DISTINCT src, src AS dst, 0.0::DOUBLE AS cost, NULL::VARCHAR AS hop FROM e UNION ALL SELECT b.src, e.dst, b.cost + e.cost, coalesce(b.hop, e.dst) FROM b JOIN e ON e.src = b.dst) SELECT src, dst, cost, hop FROM b"""),
-    "graph_dfs": (graph_dfs, None),
+    "graph_dfs": (graph_dfs, f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), b AS (SELECT 'r1' AS id, 'r1' AS path UNION ALL SELECT e.dst, b.path || '!' || e.dst FROM b JOIN e ON e.src = b.id)
+        SELECT id, row_number() OVER (ORDER BY path) - 1 AS place FROM b"""),
     "graph_layers": (graph_layers, f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), b AS (SELECT DISTINCT src AS id, 0::BIGINT AS y FROM e WHERE src LIKE 'r%' UNION ALL SELECT e.dst, b.y + 1 FROM b JOIN e ON e.src = b.id) SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS x FROM b"""),
     "dot_graph": (dot_graph, f"SELECT '\"' || src || '\" -> \"' || dst || '\" [label=' || cost::DECIMAL(9, 1) || '];' AS line FROM {_EDGES}"),
     "coded_series": (coded_series, "SELECT epoch_us(ts) AS us, event_id, value FROM events"),

@@ -37,26 +37,24 @@ def hmac(spark, sf_dir):
     return d.select("doc_id", "sha256", "sha512", (F.col("sha256") == F.col("py")).alias("agree"))
 
 
-def edit_distance(spark, sf_dir):
-    """T-01."""
-    a, b = F.substring("text", 1, 40), F.substring("text", 21, 40)
-    return read(spark, sf_dir, "documents").select("doc_id", X.byte_levenshtein(a, b).cast("long").alias("distance"))
+#: The inner and the outer pad of HMAC with SHA-256 and the key "key", in hex.
+_PADS = [bytes(x ^ p for x in b"key".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+
+
+def hmac_sha256(spark, sf_dir):
+    """H-08 with SHA-256, within the JVM."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.hmac_sha256(F.col("text"), b"key").alias("digest"))
 
 
-def edit_distance_whole(spark, sf_dir):
+def edit_distance(spark, sf_dir):
     """T-01 on whole columns, short by nature."""
     return read(spark, sf_dir, "part").select("p_partkey", X.byte_levenshtein(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"))
 
 
 def char_match_score(spark, sf_dir):
-    """T-02."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.match_score(F.substring("text", 1, 60), F.substring("text", 31, 60)).alias("score"))
-
-
-def char_match_score_whole(spark, sf_dir):
     """T-02 on whole texts: each against itself and against its source's name."""
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", X.byte_match_score(t, t).alias("own"), X.byte_match_score(t, F.col("source")).alias("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.match_score(t, t).alias("own"), X.match_score(t, F.col("source")).alias("source"))
 
 
 def encodings(spark, sf_dir):
@@ -72,17 +70,6 @@ def number_bases(spark, sf_dir):
 
 
 def joining(spark, sf_dir):
-    """T-04, L-03, R-01..R-04, R-07: joins, padding, reversal, cyclic and chunked access of arrays."""
-    e = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x * 100).cast("int"))
-    d = read(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
-    return d.select(
-        "vec_id", F.array_join("e", ", ").alias("joined"), F.array_join(F.reverse("e"), ",").alias("reversed"), F.array_join(F.slice(F.concat("e", F.array_repeat(F.lit(0), 8)), 1, 8), ",").alias("padded"),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.element_at("e", F.pmod(i, F.lit(6)) + 1)), ",").alias("looped"),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array_join(F.slice("e", i * 2 + 1, 2), "+")), "|").alias("chunks"), F.to_json("e").alias("pretty"),
-    )
-
-
-def joining_whole(spark, sf_dir):
     """T-04, L-03, R-01..R-04, R-07 on all elements: padded by two zeros, looped by three elements, in chunks of two."""
     d = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 100).cast("int")).alias("e"))
     n = F.size("e")
@@ -152,18 +139,17 @@ QUERIES = {
     "murmur3": (murmur3, None),
     "blake2": (blake2, None),
     "hmac": (hmac, None),
-    "edit_distance": (edit_distance, "SELECT doc_id, levenshtein(substring(text, 1, 40), substring(text, 21, 40)) AS distance FROM documents"),
-    "edit_distance_whole": (edit_distance_whole, None),
-    "char_match_score_whole": (char_match_score_whole, None),
-    "array_forms_whole": (joining_whole, None),
-    "char_match_score": (char_match_score, """WITH a AS (SELECT doc_id, hex(encode(substring(text, 1, 60))) AS x, hex(encode(substring(text, 31, 60))) AS y FROM documents),
-        p AS (SELECT doc_id, substr(x, 2 * i + 1, 2) AS c, count(*) AS n FROM a, range(240) t(i) WHERE 2 * i < len(x) GROUP BY 1, 2), q AS (SELECT doc_id, substr(y, 2 * i + 1, 2) AS c, count(*) AS n FROM a, range(240) t(i) WHERE 2 * i < len(y) GROUP BY 1, 2)
-        SELECT a.doc_id, coalesce(sum(p.n * q.n), 0)::BIGINT AS score FROM a LEFT JOIN p ON p.doc_id = a.doc_id LEFT JOIN q ON q.doc_id = a.doc_id AND q.c = p.c GROUP BY a.doc_id"""),
+    "hmac_sha256": (hmac_sha256, f"SELECT doc_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(text)))) AS digest FROM documents"),
+    "edit_distance": (edit_distance, "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part"),
+    "char_match_score": (char_match_score, """WITH p AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS c FROM documents) GROUP BY 1, 2),
+        q AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(source)), '..')) AS c FROM documents) GROUP BY 1, 2),
+        s AS (SELECT p.doc_id, sum(p.n * p.n)::BIGINT AS own, sum(p.n * coalesce(q.n, 0))::BIGINT AS source FROM p LEFT JOIN q ON p.doc_id = q.doc_id AND p.c = q.c GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(own, 0) END AS own, CASE WHEN text IS NOT NULL AND d.source IS NOT NULL THEN coalesce(s.source, 0) END AS source FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""),
     "encodings": (encodings, "SELECT c_custkey, hex(encode(c_name)) AS upper, lower(hex(encode(c_name))) AS lower, base64(encode(c_name)) AS b64, rtrim(translate(base64(encode(c_name)), '+/=', '-_ ')) AS b64url, strlen(c_name) AS bytes, c_name AS back FROM customer"),
     "number_bases": (number_bases, "SELECT o_orderkey, lower(hex(o_orderkey)) AS b16, bin(o_orderkey) AS b2, printf('%012.3f', o_totalprice) AS fixed, o_orderkey AS back32 FROM orders"),
     "array_forms": (joining, """SELECT vec_id, array_to_string(e, ', ') AS joined, array_to_string(list_reverse(e), ',') AS reversed, array_to_string(list_concat(e, [0, 0]), ',') AS padded, array_to_string(list_concat(e, e[1:3]), ',') AS looped,
-        array_to_string([array_to_string(e[1:2], '+'), array_to_string(e[3:4], '+'), array_to_string(e[5:6], '+')], '|') AS chunks, '[' || array_to_string(e, ',') || ']' AS pretty
-        FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x * 100)::INT) AS e FROM embeddings)"""),
+        array_to_string(list_transform(range(0, len(e), 2), lambda i: array_to_string(e[i + 1:i + 2], '+')), '|') AS chunks, '[' || array_to_string(e, ',') || ']' AS pretty
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100)::INT) AS e FROM embeddings)"""),
     "url_parts": (url_parts, "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, url AS back FROM pages"),
     "ipv4": (ipv4, """SELECT c_custkey, (ip >> 24) || '.' || (ip >> 16 & 255) || '.' || (ip >> 8 & 255) || '.' || (ip & 255) AS text, ip AS back, ip // 4096 * 4096 AS network, ip // 4096 * 4096 + 4095 AS broadcast, ip % 4096 NOT IN (0, 4095) AS host,
         (ip >> 24 = 10 OR ip >> 20 = 2753 OR ip >> 16 = 49320) AS private, ip >> 24 = 127 AS loopback, ip >> 16 = 43518 AS link_local, ip >> 22 = 401 AS cgnat FROM (SELECT c_custkey, c_custkey * 2654435761 % 4294967296 AS ip FROM customer)"""),
