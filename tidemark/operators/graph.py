@@ -7,18 +7,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder (spark.checkpoint.dir, a temporary one where unset) and reads it again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one; on a
+    cluster executors would write to their own disks, so that is an error."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         said = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", said)
-    path = f"{said}/tidemark/{uuid.uuid4().hex}"
+    return said
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
@@ -12,11 +10,10 @@ from tidemark.sources import csv, geofiles, nmea
 
 
 def _shared(spark) -> str:
-    """A new folder that executors can write: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that executors can write."""
     import uuid
 
-    said = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{said}/tidemark/{uuid.uuid4().hex}"
+    return f"{G.shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(spark, sf_dir):
