@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Semi-major axis and inverse flattening of standard ellipsoids (C-12).
-ELLIPSOIDS = {"wgs84": (6378137.0, 298.257223563), "grs80": (6378137.0, 298.257222101), "wgs72": (6378135.0, 298.26), "intl1924": (6378388.0, 297.0), "clarke1866": (6378206.4, 294.9786982), "airy1830": (6377563.396, 299.3249646), "bessel1841": (6377397.155, 299.1528128)}
+ELLIPSOIDS = {"wgs84": (6378137.0, 298.257223563), "grs80": (6378137.0, 298.257222101), "wgs72": (6378135.0, 298.26), "intl1924": (6378388.0, 297.0), "clarke1866": (6378206.4, 294.9786982), "airy1830": (6377563.396, 299.3249646), "bessel1841": (6377397.155, 299.1528128), "mean_radius": (6371008.7714, math.inf), "equal_area": (6371007.1809, math.inf), "equal_volume": (6371000.79, math.inf)}
+ELLIPSOIDS |= {"nad27": ELLIPSOIDS["clarke1866"], "nad83": ELLIPSOIDS["grs80"], "navionics": ELLIPSOIDS["intl1924"]}
 
 
 def axes(name: str = "wgs84") -> tuple[float, float, float]:
@@ -113,7 +114,7 @@ def from_transverse_mercator(x: Column, y: Column, lon0: float, scale: float = 0
 
 
 def lambert_conformal(lat: Column, lon: Column, lat0: float, lon0: float, lat1: float, lat2: float, false_e: float, false_n: float, name: str = "grs80") -> tuple[Column, Column]:
-    """C-07 forward, elliptical with two standard parallels; C-08 with the parameters of a state plane."""
+    """C-07 forward, with two standard parallels on an ellipsoid or, by the name of a sphere, on it; C-08 with the parameters of a state plane."""
     a, _, e2 = axes(name)
     e = math.sqrt(e2)
     m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
@@ -143,6 +144,32 @@ def from_lambert_conformal(x: Column, y: Column, lat0: float, lon0: float, lat1:
     return F.degrees(again), lon0 + F.degrees(F.atan2(dx, dy) / n)
 
 
+#: Centre, offset, forward and inverse coefficients and radius of a state plane given by polynomials (C-08).
+MASSACHUSETTS = {"lat": 42.2006252872, "lon": -71.5, "east": 200_000.0, "north": 883_353.0384, "radius": 7_044_348.7021, "forward": (111073.2431, 9.71650, 5.63098, 0.021759), "inverse": (9.003068344e-6, -7.09026e-15, -3.69789e-20, -1.1855e-27)}
+
+
+def _poly(x: Column, factors: tuple) -> Column:
+    """The polynomial with these factors of x, x^2, ..."""
+    total = F.lit(0.0)
+    for f in reversed(factors):
+        total = (total + f) * x
+    return total
+
+
+def state_plane(lat: Column, lon: Column, plane: dict = MASSACHUSETTS) -> tuple[Column, Column]:
+    """C-08: easting and northing by the polynomial along the central meridian."""
+    u = _poly(lat - plane["lat"], plane["forward"])
+    turn = F.radians(plane["lon"] - lon) * math.sin(math.radians(plane["lat"]))
+    e = (plane["radius"] - u) * F.sin(turn)
+    return plane["east"] - e, plane["north"] + u + e * F.tan(turn / 2)
+
+
+def from_state_plane(x: Column, y: Column, plane: dict = MASSACHUSETTS) -> tuple[Column, Column]:
+    e, n = plane["east"] - x, y - plane["north"]
+    turn = F.atan(e / (plane["radius"] - n))
+    return plane["lat"] + _poly(n - e * F.tan(turn / 2), plane["inverse"]), plane["lon"] - F.degrees(turn) / math.sin(math.radians(plane["lat"]))
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """G-05: distance of a point to a segment; to its point if it has no length (Q15)."""
     dx, dy = bx - ax, by - ay

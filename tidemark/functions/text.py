@@ -45,9 +45,11 @@ def xor_checksum(body: Column) -> Column:
 
 
 def fold_to_u64(hex_digest: Column) -> Column:
-    """H-11: exclusive or of a digest's 8-byte pieces, as hex."""
-    piece = lambda i: F.conv(F.substring(hex_digest, 1 + 16 * i, 16), 16, -10).cast("long")
-    return F.lower(F.hex(piece(0).bitwiseXOR(piece(1)).bitwiseXOR(piece(2)).bitwiseXOR(piece(3))))
+    """H-11: exclusive or of a digest's 8-byte pieces, the first byte lowest; a shorter last piece counts as if padded by zeros."""
+    pieces = F.regexp_extract_all(hex_digest, F.lit("(.{2,16})"), F.lit(1))
+    number = lambda p: F.conv(F.rpad(p, 16, "0"), 16, -10).cast("long")
+    folded = F.lpad(F.hex(F.aggregate(pieces, F.lit(0).cast("long"), lambda s, p: s.bitwiseXOR(number(p)))), 16, "0")
+    return F.conv(F.concat(*[F.substring(folded, i, 2) for i in range(15, 0, -2)]), 16, -10).cast("long")
 
 
 def ipv4_text(ip: Column) -> Column:
@@ -99,11 +101,14 @@ def blake2(text: Column, kind: str = "b", bits: int = 256) -> Column:
 
 
 def hmac(text: Column, key: bytes, algorithm: str = "sha256") -> Column:
-    """H-08."""
+    """H-08 with any algorithm of the registry that has blocks (all but murmur3)."""
+    name = algorithm_name(algorithm)
+    kind, bits = (name[6], int(name[7:])) if name.startswith("blake2") else (None, 0)
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else _hmac.new(key, x.encode(), algorithm).hexdigest())
+        make = (lambda d=b"": getattr(hashlib, f"blake2{kind}")(d, digest_size=bits // 8)) if kind else name
+        return s.map(lambda x: None if x is None else _hmac.new(key, x.encode(), make).hexdigest())
 
     return run(text)
 
@@ -174,6 +179,42 @@ def identifier_number(s: pd.Series) -> pd.Series:
     return pd.Series([np.uint64(murmur3_128_bytes((x or "").encode())[0]).astype(np.int64) for x in s], dtype="int64")
 
 
+#: Names of the hash algorithms (H-09), and other names for some of them.
+ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512", "murmur3_128", "murmur3_32", "blake2s128", "blake2s160", "blake2s224", "blake2s256", "blake2b160", "blake2b224", "blake2b256", "blake2b384", "blake2b512")
+ALIASES = {"murmur3": "murmur3_128", "m3": "murmur3_128", "b2": "blake2b512", "b2b": "blake2b512", "blake2b": "blake2b512", "b2s": "blake2s256", "blake2s": "blake2s256"}
+
+
+def algorithm_name(name: str) -> str:
+    """H-09: the registered name; an unknown one is an error."""
+    found = ALIASES.get(name, name)
+    if found not in ALGORITHMS:
+        raise ValueError(f"no hash algorithm {name!r}")
+    return found
+
+
+def digest(data: Column, algorithm: str) -> Column:
+    """H-09, H-10: a binary value's digest by any registered algorithm, in hex; within the JVM where Spark has it."""
+    name = algorithm_name(algorithm)
+    if name == "md5":
+        return F.md5(data)
+    if name == "sha1":
+        return F.sha1(data)
+    if name.startswith("sha"):
+        return F.sha2(data, int(name[3:]))
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        if name == "murmur3_32":
+            one = lambda x: "%08x" % murmur3_32_bytes(x)
+        elif name == "murmur3_128":
+            one = lambda x: "%016x%016x" % murmur3_128_bytes(x)
+        else:
+            one = lambda x: getattr(hashlib, name[:7])(x, digest_size=int(name[7:]) // 8).hexdigest()
+        return s.map(lambda x: None if x is None else one(bytes(x)))
+
+    return run(data)
+
+
 def rgb(color: Column) -> tuple[Column, Column, Column]:
     """Channels of 0xRRGGBB from 0 to 1."""
     return tuple(F.shiftright(color, s).bitwiseAND(F.lit(255).cast("long")) / 255.0 for s in (16, 8, 0))
@@ -187,6 +228,22 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return hue, F.when(hi == 0, 0.0).otherwise(c / hi), hi
 
 
+def hsl_to_hsv(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
+    """M-30: hue, saturation and value of hue, saturation and lightness; black has no saturation."""
+    value = light + s * F.least(light, 1 - light)
+    return h, F.when(value < 0.001, 0.0).otherwise(2 * (1 - light / value)), value
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """M-30: channels from 0 to 1 of a hue in degrees."""
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + h / 60, F.lit(6.0))
+        return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return channel(5), channel(3), channel(1)
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """M-30: relative luminance of the web accessibility guidelines."""
     lin = lambda c: F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))

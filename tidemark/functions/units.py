@@ -17,7 +17,7 @@ FACTORS = {
     "data": {"b": 1.0, "B": 8.0, "kB": 8e3, "MB": 8e6, "KiB": 8192.0, "MiB": 8388608.0},
     "drift": {"one": 1.0, "ppk": 1e-3, "ppm": 1e-6, "ppb": 1e-9, "ppt": 1e-12},
 }
-PREFIXES = ["n", "µ", "m", "", "k", "M", "G", "T"]
+PREFIXES = ["y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y"]
 
 
 def convert(v: Column, quantity: str, from_: str, to: str) -> Column:
@@ -51,10 +51,10 @@ def to_dms(a: Column) -> tuple[Column, Column, Column]:
 
 
 def si_prefix(v: Column) -> tuple[Column, Column]:
-    """M-26: value and prefix by thousands, from nano to tera."""
-    e = F.least(F.greatest(F.floor(F.log10(F.abs(v)) / 3), F.lit(-3)), F.lit(4))
+    """M-26: value and prefix by thousands, from yocto to yotta."""
+    e = F.least(F.greatest(F.floor(F.log10(F.abs(v)) / 3), F.lit(-8)), F.lit(8))
     e = F.when(v == 0, F.lit(0)).otherwise(e).cast("int")
-    return v / F.pow(F.lit(1000.0), e), F.element_at(F.array(*map(F.lit, PREFIXES)), e + 4)
+    return v / F.pow(F.lit(1000.0), e), F.element_at(F.array(*map(F.lit, PREFIXES)), e + 9)
 
 
 def circle(radius: Column) -> dict[str, Column]:

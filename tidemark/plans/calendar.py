@@ -120,7 +120,7 @@ QUERIES = {
         (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[1 + floor((((a + 22.5) % 360) + 360) % 360 / 45)::INT] AS name,
         (sign(a) * floor(x))::BIGINT AS deg, floor((x - floor(x)) * 60)::BIGINT AS min, round(((x - floor(x)) * 60 - floor((x - floor(x)) * 60)) * 60, 4) AS sec
         FROM (SELECT *, abs(a / 7) AS x FROM (SELECT l_orderkey, l_linenumber, ((l_partkey * 37.5::DOUBLE) % 900) - 270 AS a, l_suppkey * 11.25::DOUBLE AS b FROM lineitem))"""),
-    "si_prefixes": (si_prefixes, "SELECT o_orderkey, round(v / pow(1000.0, e) + 1e-9, 6) AS value, (['n', 'µ', 'm', '', 'k', 'M', 'G', 'T'])[e::INT + 4] AS prefix FROM (SELECT o_orderkey, v, CASE WHEN v = 0 THEN 0 ELSE least(greatest(floor(log10(abs(v)) / 3), -3), 4) END AS e FROM (SELECT o_orderkey, o_totalprice * o_orderkey / 7 AS v FROM orders))"),
+    "si_prefixes": (si_prefixes, "SELECT o_orderkey, round(v / pow(1000.0, e) + 1e-9, 6) AS value, (['y', 'z', 'a', 'f', 'p', 'n', 'µ', 'm', '', 'k', 'M', 'G', 'T', 'P', 'E', 'Z', 'Y'])[e::INT + 9] AS prefix FROM (SELECT o_orderkey, v, CASE WHEN v = 0 THEN 0 ELSE least(greatest(floor(log10(abs(v)) / 3), -8), 8) END AS e FROM (SELECT o_orderkey, o_totalprice * o_orderkey / 7 AS v FROM orders))"),
     "shapes": (shapes, """SELECT p_partkey, round(2 * r, 6) AS diameter, round(2 * pi() * r, 6) AS circumference, round(pi() * r * r, 6) AS area, round((a - r) / a, 6) AS e_flattening, round(1 - (r * r) / (a * a), 6) AS e_e2,
         round((a * a) / (r * r) - 1, 6) AS e_second_e2, round(pi() * a * r, 6) AS e_area, round(sqrt(a * a - r * r), 6) AS e_focus FROM (SELECT p_partkey, p_size::DOUBLE AS r, p_size::DOUBLE + 1 AS a FROM part)"""),
 }

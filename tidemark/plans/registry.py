@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stats", "series", "calendar", "text", "geo", "io")
+MODULES = ("stats", "series", "calendar", "text", "geo", "io", "coding")
 
 
 def _all() -> dict:
