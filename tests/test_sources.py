@@ -156,3 +156,45 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_gns(spark):
+    text = "GNGNS,014035.00,4332.69262,S,17235.48549,E,RRX,13,0.9,25.63,11.24,1.5,0031,S"
+    lines = spark.createDataFrame([(text,), ("GPGNS,,,,,,,,,,,,",)], "t string").select(nmea.sentence(F.col("t")).alias("line"))
+    got = sorted(nmea.gns(nmea.parsed(lines)).collect(), key=lambda r: r.system)
+    none, r = got
+    assert r.checksum_ok and r.system == "multi" and r.modes == ["rtk_integer", "rtk_integer", "unknown"] and r.status == "safe" and r.station == "0031"
+    assert r.lat == pytest.approx(-(43 + 32.69262 / 60)) and r.lon == pytest.approx(172 + 35.48549 / 60) and (r.satellites, r.hdop, r.altitude, r.geoid, r.age) == (13, 0.9, 25.63, 11.24, 1.5)
+    assert none.system == "gps" and none.modes == [] and none.lat is None and none.status is None
+
+
+def test_influx_catalogue(spark):
+    import http.server
+    import threading
+    import urllib.parse
+
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+            asked.append((q.get("q"), self.headers.get("Accept")))
+            ping = self.path.startswith("/ping")
+            self.send_response(204 if ping else 200)
+            self.end_headers()
+            if not ping:
+                self.wfile.write(b"name,tags,v\ncpu,,1\n" if self.headers.get("Accept") == "application/csv" else b'{"results":[{"series":[{"name":"cpu","columns":["k","v"],"values":[["a",2.5],["b","x"]]}]}]}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert registry.influx_ping(url) and registry.influx_csv(url, "SELECT 1").startswith("name,")
+        d = registry.influx_typed(registry.influx_catalogue(spark, url, "field_keys", "my db"), {"k": "string", "v": "float"})
+        assert sorted((r.name, r.k, r.v) for r in d.collect()) == [("cpu", "a", 2.5), ("cpu", "b", None)]
+    finally:
+        server.shutdown()
+    assert ([q for q, _ in asked if q])[-1] == ['SHOW FIELD KEYS ON "my db"']

@@ -106,3 +106,23 @@ def test_pyramid_counts(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(1000)], "us long, v double")
     got = O.pyramid(df, "us", "v", [4, 6, 20]).groupBy("level").agg(F.sum("n").alias("n"), F.max("max").alias("m")).collect()
     assert all((r.n, r.m) == (1000, 999.0) for r in got) and len(got) == 3
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 20])
+def test_streamed_lttb_equals_the_whole(spark, n):
+    import random
+
+    rng = random.Random(n)
+    series = {k: [(i * 10, float(rng.randrange(1000))) for i in range(size)] for k, size in (("a", 1), ("b", 5), ("c", 21), ("d", 997), (None, 64))}
+    rows = [(k, t, v) for k, pts in series.items() for t, v in pts] + [("a", None, 1.0), ("a", 5, None)]
+    rng.shuffle(rows)
+    got: dict = {}
+    for r in T.downsample(spark.createDataFrame(rows, "k string, us long, v double"), "k", "us", "v", n).collect():
+        got.setdefault(r.k, []).append((r.us, r.v))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(T.lttb(v, n)) for k, v in series.items()}
+
+
+def test_holds_run(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, None), (2, 3, "b"), (None, 1, "b"), (None, 2, "c")], "k int, t int, v string")
+    found = lambda needle: {r.k: r.found for r in O.holds_run(df, ["k"], ["t"], "v", needle).collect()}
+    assert found(["b", "c"]) == {1: True, 2: False, None: True} and found(["a", "b"]) == {1: True, 2: False, None: False} and found([]) == {1: True, 2: True, None: True}

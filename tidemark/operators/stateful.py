@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -111,12 +112,41 @@ def lttb(points: list[tuple[float, float]], n: int) -> list[tuple[float, float]]
     return [*out, points[-1]]
 
 
-def downsample(df: DataFrame, key: str, us: str, value: str, n: int) -> DataFrame:
-    """LTTB for each key."""
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([us, value])
-        return pd.DataFrame([(k[0], int(t), v) for t, v in lttb(list(zip(pdf[us].tolist(), pdf[value].tolist(), strict=True)), n)], columns=[key, us, value])
+def _largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted (k, b, x, y, cx, cy): the point of each bucket that makes the largest triangle with the one before and the next bucket's mean."""
+    at, before, best = None, None, None  # (key, bucket), the chosen point before it, (area, x, y) so far
+    for p in batches:
+        out = []
+        keys, b = p["k"].tolist(), p["b"].to_numpy()
+        x, y, cx, cy = (p[c].to_numpy(np.float64) for c in ("x", "y", "cx", "cy"))
+        starts = [i for i in range(len(b)) if i == 0 or b[i] != b[i - 1] or keys[i] != keys[i - 1]]
+        for lo, hi in zip(starts, [*starts[1:], len(b)], strict=True):
+            if at != (keys[lo], b[lo]):
+                if best is not None:
+                    out.append((at[0], int(best[1]), best[2]))
+                before = best[1:] if best is not None and at[0] == keys[lo] else (x[lo], y[lo])
+                at, best = (keys[lo], b[lo]), None
+            area = np.nan_to_num(np.abs((before[0] - cx[lo:hi]) * (y[lo:hi] - before[1]) - (before[0] - x[lo:hi]) * (cy[lo:hi] - before[1])))
+            i = int(np.argmax(area))
+            if best is None or area[i] > best[0]:
+                best = (area[i], x[lo + i], y[lo + i])
+        yield pd.DataFrame(out, columns=["k", "x", "y"])
+    if best is not None:
+        yield pd.DataFrame([(at[0], int(best[1]), best[2])], columns=["k", "x", "y"])
 
-    return df.select(key, us, value).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {us} long, {value} double")
 
+def downsample(df: DataFrame, key: str, us: str, value: str, n: int) -> DataFrame:
+    """LTTB for each key; samples without time or value aren't points. Buckets are numbered from a key's count and ordinals and
+    averaged by groups; then sorted partitions are streamed, and a task holds a batch and one candidate however long a key's series is."""
+    kind = dict(df.dtypes)[key]
+    d = df.select(F.col(key).cast("string").alias("k"), F.col(us).cast("long").alias("x"), F.col(value).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    every = Window.partitionBy("k")
+    d = d.select("*", (F.row_number().over(every.orderBy("x", "y")) - 1).alias("i"), F.count("*").over(every).alias("m"))
+    width = F.greatest(F.col("m") - 2, F.lit(1)) / F.lit(float(max(n - 2, 1)))
+    b = F.ceil(F.col("i") / width).cast("long")
+    b = F.when((b - 1) * width >= F.col("i"), b - 1).when(b * width < F.col("i"), b + 1).otherwise(b)  # as rounding may have it
+    d = d.withColumn("b", F.when((F.col("m") <= n) | F.lit(n < 3), F.col("i").cast("long")).when(F.col("i") == 0, F.lit(0)).when(F.col("i") == F.col("m") - 1, F.lit(n - 1)).otherwise(b).cast("long"))
+    ahead = d.groupBy(F.col("k").alias("ak"), (F.col("b") - 1).alias("ab")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    d = d.join(ahead, F.col("k").eqNullSafe(F.col("ak")) & (F.col("b") == F.col("ab")), "left")
+    d = d.select("k", "b", "i", "x", "y", "cx", "cy").repartition("k").sortWithinPartitions("k", "i")
+    return d.mapInPandas(_largest, "k string, x long, y double").select(F.col("k").cast(kind).alias(key), F.col("x").alias(us), F.col("y").alias(value))

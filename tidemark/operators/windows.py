@@ -46,6 +46,16 @@ def contains_run(a: Column, needle: Column) -> Column:
     return F.exists(starts, lambda i: F.slice(a, i, F.size(needle)) == needle)
 
 
+def holds_run(df: DataFrame, keys: list[str], order: list[str], value: str, needle: list) -> DataFrame:
+    """S-03 over rows: whether each key's values, in order, hold needle in a row; a null value equals nothing, the empty needle is
+    in everything. Values ahead come from a window, so no history is collected."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    here = F.lit(True)
+    for i, x in enumerate(needle):
+        here = here & F.coalesce((F.lead(value, i).over(w) if i else F.col(value)) == F.lit(x), F.lit(False))
+    return df.select(*keys, here.alias("found")).groupBy(*keys).agg(F.bool_or("found").alias("found"))
+
+
 def pyramid(df: DataFrame, us: str, value: str, levels: list[int]) -> DataFrame:
     """S-29: minimum, maximum and mean at several resolutions of 2^level microseconds. The finest level is aggregated
     first and the coarser from it, so the samples are shuffled once."""

@@ -39,9 +39,7 @@ def sliding_tuples(spark, sf_dir):
 
 def contains_windowed(spark, sf_dir):
     """S-03: whether a user's types hold 'click, view' in a row."""
-    d = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "event_type"))).alias("a"))
-    types = F.transform("a", lambda x: x["event_type"])
-    return d.select("user_id", O.contains_run(types, F.array(F.lit("click"), F.lit("view"))).alias("found"))
+    return O.holds_run(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "event_type", ["click", "view"])
 
 
 def _kernel(degree, derivative, sizes, spark, sf_dir):
@@ -114,7 +112,8 @@ def dictionary_code(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
     codes = d.groupBy("source").agg(F.min("doc_id").alias("f"))
     codes = codes.select("source", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("code"))
-    return d.join(codes, "source").select("doc_id", "code")
+    codes = codes.withColumnRenamed("source", "_source")
+    return d.join(codes, d["source"].eqNullSafe(codes["_source"])).select("doc_id", "code")
 
 
 def pyramid(spark, sf_dir):

@@ -10,6 +10,12 @@ from tidemark.functions.text import xor_checksum
 QUALITY = {0: "invalid", 1: "gps", 2: "dgps", 3: "pps", 4: "rtk", 5: "float_rtk", 6: "estimated", 7: "manual", 8: "simulation"}
 
 
+#: Codes of GNS sentences (IO-25): fix mode of each system, navigational status, system of the talker.
+MODE = {"A": "autonomous", "D": "differential", "E": "estimated", "F": "rtk_float", "M": "manual", "N": "no_fix", "P": "precise", "R": "rtk_integer", "S": "simulator", "V": "valid"}
+STATUS = {"S": "safe", "C": "caution", "U": "unsafe", "V": "not_valid"}
+SYSTEMS = {"GN": "multi", "GP": "gps", "GL": "glonass", "GA": "galileo", "GB": "beidou", "BD": "beidou", "GQ": "qzss", "QZ": "qzss"}
+
+
 def body(line: Column) -> Column:
     return F.regexp_extract(line, r"\$([^*\r\n]*)", 1)
 
@@ -67,7 +73,7 @@ def _field(i: int) -> Column:
     return F.nullif(F.get("fields", F.lit(i)), F.lit(""))
 
 
-def _name(code: Column, names: dict[int, str]) -> Column:
+def _name(code: Column, names: dict) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
     return F.get(F.array(table), F.lit(0))[code]
 
@@ -80,6 +86,17 @@ def gga(p: DataFrame) -> DataFrame:
     )
 
 
+def gns(p: DataFrame) -> DataFrame:
+    """IO-24, IO-25: a fix of several systems; modes holds the mode of GPS, GLONASS, Galileo, BeiDou and QZSS, as far as given; an unknown letter is unknown."""
+    letters = F.filter(F.split(F.coalesce(_field(6), F.lit("")), ""), lambda c: c != "")
+    status = F.substring(_field(13), 1, 1)
+    return p.where("kind = 'GNS'").select(
+        "*", F.coalesce(_name(F.col("talker"), SYSTEMS), F.lit("unknown")).alias("system"), day_seconds(_field(1)).alias("seconds"), degrees(_field(2), _field(3)).alias("lat"), degrees(_field(4), _field(5)).alias("lon"),
+        F.transform(letters, lambda c: F.coalesce(_name(c, MODE), F.lit("unknown"))).alias("modes"), _field(7).try_cast("int").alias("satellites"), _field(8).try_cast("double").alias("hdop"), _field(9).try_cast("double").alias("altitude"), _field(10).try_cast("double").alias("geoid"),
+        _field(11).try_cast("double").alias("age"), _field(12).alias("station"), F.when(status.isNotNull(), F.coalesce(_name(status, STATUS), F.lit("unknown"))).alias("status"),
+    )
+
+
 def rmc(p: DataFrame) -> DataFrame:
     """IO-24: position, speed in knots, track and date (two-digit years are of this century, Q26)."""
     d = _field(9)

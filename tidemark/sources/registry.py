@@ -7,6 +7,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.sources import binary, csv, geofiles, nmea
@@ -66,3 +67,32 @@ def influx_query(spark: SparkSession, url: str, q: str, db: str | None = None) -
     with urllib.request.urlopen(f"{url}/query?{urllib.parse.urlencode(args)}") as r:  # noqa: S310
         rows = [(n, {c: None if v is None else str(v) for c, v in zip(cols, row, strict=True)}) for n, cols, values in influx_series(r.read().decode()) for row in values]
     return spark.createDataFrame(rows, "name string, fields map<string,string>")
+
+
+#: What a time-series database lists of itself (IO-62).
+CATALOGUE = {"databases": "SHOW DATABASES", "retention_policies": "SHOW RETENTION POLICIES", "measurements": "SHOW MEASUREMENTS", "tag_keys": "SHOW TAG KEYS", "tag_values": "SHOW TAG VALUES", "field_keys": "SHOW FIELD KEYS"}
+
+
+def influx_ping(url: str) -> bool:
+    """IO-60: whether the server answers."""
+    with urllib.request.urlopen(f"{url}/ping") as r:  # noqa: S310
+        return r.status in (200, 204)
+
+
+def influx_csv(url: str, q: str, db: str | None = None) -> str:
+    """IO-60: a query's answer as the server's own CSV text, for the reader of `csv`."""
+    args = {"q": q} | ({"db": db} if db else {})
+    request = urllib.request.Request(f"{url}/query?{urllib.parse.urlencode(args)}", headers={"Accept": "application/csv"})  # noqa: S310
+    with urllib.request.urlopen(request) as r:  # noqa: S310
+        return r.read().decode()
+
+
+def influx_catalogue(spark: SparkSession, url: str, kind: str, db: str | None = None) -> DataFrame:
+    """IO-60, IO-62: databases, policies, measurements, keys, one row each; a catalogue is small and read where the frame is built."""
+    on = f' ON "{db}"' if db and kind != "databases" else ""
+    return influx_query(spark, url, CATALOGUE[kind] + on)
+
+
+def influx_typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """IO-61: an answer's fields as columns of the types the database names; what isn't of its type becomes null."""
+    return df.select("name", *[F.get(F.array("fields"), F.lit(0))[c].try_cast(FIELD_TYPES[t]).alias(c) for c, t in types.items()])
