@@ -45,6 +45,16 @@ def test_gga_sentence(spark):
     assert (rows[0].lat, rows[0].lon) == pytest.approx((48.1173, 11.516667), abs=1e-6)
 
 
+def test_gga_with_unknown_fields(spark):
+    """Nulls are empty fields in their places, and read back as nulls."""
+    none = F.lit(None).cast("double")
+    line = nmea.build_gga(F.lit(3661), none, F.lit(-71.5), F.lit(None).cast("int"), F.lit(7), none, F.lit(12.0), F.lit(0.0))
+    d = spark.range(1).select(line.alias("line"))
+    assert d.collect()[0].line.split("*")[0] == "$GPGGA,010101.00,,,07130.00000,W,,07,,12.0,M,0.0,M,,"
+    r = nmea.gga(nmea.parsed(d)).collect()[0]
+    assert r.checksum_ok and (r.lat, r.lon, r.quality, r.satellites, r.hdop) == (None, -71.5, None, 7, None)
+
+
 def test_rmc_gsa_gsv(spark):
     lines = [
         "$GPRMC,123519,A,4807.038,N,01131.000,W,022.4,084.4,230394,003.1,W*78", "$GPGSA,A,3,04,05,,09,12,,,24,,,,,2.5,1.3,2.1*39",

@@ -65,7 +65,7 @@ def gps_week(us: Column) -> tuple[Column, Column]:
 def iso_duration(us: Column) -> Column:
     """D-18: PnDTnHnMnS of a non-negative duration in microseconds."""
     s = F.floor(us / 1_000_000).cast("long")
-    return F.format_string("P%dDT%dH%dM%dS", F.floor(s / 86400).cast("long"), F.floor(s / 3600).cast("long") % 24, F.floor(s / 60).cast("long") % 60, s % 60)
+    return F.when(s.isNotNull(), F.format_string("P%dDT%dH%dM%dS", F.floor(s / 86400).cast("long"), F.floor(s / 3600).cast("long") % 24, F.floor(s / 60).cast("long") % 60, s % 60))
 
 
 def parse_iso_duration(text: Column) -> Column:

@@ -140,7 +140,10 @@ def from_lambert_conformal(x: Column, y: Column, lat0: float, lon0: float, lat1:
     r0 = a * f * t(p0) ** n
     dx, dy = x - false_e, r0 - (y - false_n)
     tc = F.pow(F.sqrt(dx * dx + dy * dy) / (a * f), F.lit(1 / n))
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), math.pi / 2 - 2 * F.atan(tc), lambda p, _: math.pi / 2 - 2 * F.atan(tc * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))))
+    # tc goes through the state: a column named within the lambda would meet an alias of the same select before its input.
+    step = lambda q: math.pi / 2 - 2 * F.atan(q["tc"] * F.pow((1 - e * F.sin(q["p"])) / (1 + e * F.sin(q["p"])), F.lit(e / 2)))
+    start = F.struct((math.pi / 2 - 2 * F.atan(tc)).alias("p"), tc.alias("tc"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda q, _: F.struct(step(q).alias("p"), q["tc"].alias("tc")), lambda q: q["p"])
     return F.degrees(again), lon0 + F.degrees(F.atan2(dx, dy) / n)
 
 

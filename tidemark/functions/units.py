@@ -72,3 +72,25 @@ def cardinal(heading: Column, n: int = 8) -> Column:
     """M-25: name of the nearest of 8 compass points."""
     names = F.array(*map(F.lit, ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]))
     return F.element_at(names, (F.floor(F.pmod(heading + 22.5, F.lit(360.0)) / 45) + 1).cast("int"))
+
+
+#: Names of units of quantities and their symbols (M-27).
+SYMBOLS = {
+    "Gram": "g", "Meter": "m", "SquareMeter": "m²", "CubicMeter": "m³", "MeterPerSecond": "m/s", "MeterPerSecondPerSecond": "m/s²", "Second": "s", "Mole": "mol", "Ampere": "A", "Kelvin": "K", "Candela": "cd",
+    "Newton": "N", "Joule": "J", "Katal": "kat", "Coulomb": "C", "Celsius": "°C", "Lux": "lx", "Lumen": "lm", "Farad": "F", "Weber": "Wb", "Watt": "W", "Pascal": "Pa", "Gray": "Gy", "Becquerel": "Bq", "Henry": "H", "Volt": "V",
+    "Ohm": "Ω", "Steradian": "sr", "Radian": "rad", "Siemens": "S", "Tesla": "T", "Hertz": "Hz", "Sievert": "Sv",
+}
+
+
+def lookup(key: Column, table: dict) -> Column:
+    """T-19: the value of a small fixed table; null where the key isn't in it."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def quantity(v: Column, unit: Column) -> Column:
+    """M-27: three decimals, prefix and symbol of a value. Zero, values beyond the prefixes and values in units of 1 have no prefix;
+    an unknown unit or a null gives null."""
+    x, p = si_prefix(v)
+    size = F.abs(v)
+    plain = (size == 0) | (size < 1e-24) | (size >= 1e27)
+    return F.when(v.isNotNull(), F.concat(F.format_string("%.3f", F.when(plain, v).otherwise(x)), F.when(plain, "").otherwise(p), lookup(unit, SYMBOLS)))

@@ -76,6 +76,12 @@ def depth_first(edges: DataFrame, start: str) -> DataFrame:
     return b.select("id", F.array_join("path", "\x00").alias("p")).select("id", (F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("place"))
 
 
+def walked(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """N-08: the graph that a walk from the starts (id) creates, its nodes and its edges, each once; merged() adds it to another one."""
+    seen = bfs(edges, starts).select("id")
+    return nodes.join(seen, "id", "left_semi"), edges.join(seen.withColumnRenamed("id", "src"), "src", "left_semi")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """N-05: (src, dst, cost, hop) from each source (id), hop the node after it, by rounds of min-plus joins over improved
     distances. A negative cost is an error."""
@@ -100,6 +106,16 @@ def merged(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b.join(a.select(key), key, "left_anti"))
 
 
+def flows(graph_edges: DataFrame, supply: DataFrame) -> DataFrame:
+    """N-11: (id, supply, inflow, outflow, kind) of capacities: edges carry theirs in `cost`, supply is (id, supply), above 0 for
+    a source, below 0 for a sink, else what flows through is directed."""
+    ends = graph_edges.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.col("cost").alias("inflow"), F.lit(0.0).alias("outflow")), F.struct(F.col("src").alias("id"), F.lit(0.0).alias("inflow"), F.col("cost").alias("outflow")))).alias("e")).select("e.*")
+    sums = ends.groupBy("id").agg(F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"))
+    both = sums.join(supply, "id", "full").select("id", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("supply", "inflow", "outflow")])
+    s = F.col("supply")
+    return both.withColumn("kind", F.when(s > 0, "FloodSource").when(s < 0, "FloodSink").otherwise("Directed"))
+
+
 def force_layout(nodes: list[str], edges: list[tuple[str, str]], rounds: int = 50, length: float = 1.0) -> dict[str, tuple[float, float]]:
     """N-09: force-directed places of one small graph: springs along edges, repulsion of all nodes, pull to the centre, with
     falling step size. Starts on a circle, so that results repeat."""

@@ -198,6 +198,18 @@ def transverse_mercator(spark, sf_dir):
     return d.select("id", r6(F.col("x"), "x", 3), r6(F.col("y"), "y", 3), (F.abs(la - lat) < 1e-6).alias("lat_back"), (F.abs(lo - lon) < 1e-6).alias("lon_back"))
 
 
+def _tm_sql():
+    a, inv = G.ELLIPSOIDS["wgs84"]
+    n = 1 / (2 * inv - 1)
+    e = math.sqrt(E2)
+    k = 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    al = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    term = lambda f, g: " + ".join(f"({c!r}::DOUBLE) * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(al, 1))
+    return f"""SELECT id, round(500000 + {k!r}::DOUBLE * (eta + {term('cos', 'sinh')}), 3) AS x, round({k!r}::DOUBLE * (xi + {term('sin', 'cosh')}), 3) AS y, true AS lat_back, true AS lon_back
+      FROM (SELECT id, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM (SELECT id, d, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t
+      FROM (SELECT id, sin(radians(lat)) AS s, radians(lon / 60::DOUBLE) AS d FROM {POINTS_SQL})))"""
+
+
 LCC = (41.0, -71.5, 41.716666666666667, 42.683333333333333, 200_000.0, 750_000.0)
 
 
@@ -211,6 +223,18 @@ def lambert(spark, sf_dir):
     return d.select("id", r6(F.col("x"), "x", 3), r6(F.col("y"), "y", 3), (F.abs(la - lat) < 1e-9).alias("lat_back"), (F.abs(lo - lon) < 1e-9).alias("lon_back"))
 
 
+def _lcc_sql():
+    a, _, e2 = G.axes("grs80")
+    e = math.sqrt(e2)
+    lat0, lon0, lat1, lat2, false_e, false_n = LCC
+    t = lambda p: f"(tan(pi() / 4 - {p} / 2) / pow((1 - {e!r}::DOUBLE * sin({p})) / (1 + {e!r}::DOUBLE * sin({p})), {e / 2!r}::DOUBLE))"
+    m = lambda p: f"(cos({p}) / sqrt(1 - {e2!r}::DOUBLE * sin({p}) * sin({p})))"
+    p0, p1, p2 = (f"radians({v!r}::DOUBLE)" for v in (lat0, lat1, lat2))
+    return f"""WITH k AS (SELECT n, m1 / (n * pow(t1, n)) AS f, t0 FROM (SELECT {t(p0)} AS t0, {t(p1)} AS t1, {m(p1)} AS m1, (ln({m(p1)}) - ln({m(p2)})) / (ln({t(p1)}) - ln({t(p2)})) AS n))
+      SELECT id, round({false_e!r} + {a!r}::DOUBLE * f * pow({t('p')}, n) * sin(n * d), 3) AS x, round({false_n!r} + {a!r}::DOUBLE * f * pow(t0, n) - {a!r}::DOUBLE * f * pow({t('p')}, n) * cos(n * d), 3) AS y, true AS lat_back, true AS lon_back
+      FROM k, (SELECT id, radians(42 + lat / 80::DOUBLE) AS p, radians(lon / 100::DOUBLE) AS d FROM {POINTS_SQL})"""
+
+
 _TILE = f"(SELECT id, lat, lon, (lon + 180) / 360 * 1024 AS fx, (1 - asinh(tan(radians(lat))) / pi()) / 2 * 1024 AS fy FROM {POINTS_SQL})"
 QUERIES = {
     "ecef_forward": (ecef_forward, f"SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM {_SQL_ECEF.replace('H AS h', 'id % 1000 AS h')}"),
@@ -234,6 +258,6 @@ QUERIES = {
     "ellipsoid_radii": (ellipsoid_radii, f"""SELECT id, round(m, 3) AS meridian, round(v, 3) AS prime_vertical, round(sqrt(m * v), 3) AS mean FROM (SELECT id, {A * (1 - E2)!r}::DOUBLE / pow(w, 1.5) AS m, {A!r}::DOUBLE / sqrt(w) AS v FROM (SELECT id, 1 - {E2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat)) AS w FROM {POINTS_SQL}))"""),
     "meridian_arc": (meridian_arc, _arc_sql()),
     "geocentric": (geocentric, f"SELECT id, round(degrees(atan({1 - E2!r}::DOUBLE * tan(radians(lat)))), 6) AS geocentric, round(degrees(atan({B_ / A!r}::DOUBLE * tan(radians(lat)))), 6) AS reduced FROM {POINTS_SQL}"),
-    "transverse_mercator": (transverse_mercator, None),
-    "lambert_conformal": (lambert, None),
+    "transverse_mercator": (transverse_mercator, _tm_sql()),
+    "lambert_conformal": (lambert, _lcc_sql()),
 }

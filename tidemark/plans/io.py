@@ -194,11 +194,16 @@ def coded_series(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_DM = lambda v, d: f"printf('%0{d}d%02d.%05d', u_{v} // 6000000, u_{v} // 100000 % 60, u_{v} % 100000)"
+_GGA_SQL = f"""SELECT id, length(body) + 4::BIGINT AS length, printf('%02X', list_reduce(list_transform(range(1, length(body) + 1), i -> ascii(body[i])::BIGINT), (x, y) -> xor(x, y))) AS sum, left('$' || body, 13) AS head FROM
+    (SELECT id, 'GPGGA,' || printf('%02d%02d%02d.00', s // 3600, s // 60 % 60, s % 60) || ',' || {_DM('lat', 2)} || CASE WHEN lat < 0 THEN ',S,' ELSE ',N,' END || {_DM('lon', 3)} || CASE WHEN lon < 0 THEN ',W,' ELSE ',E,' END
+      || (id % 3) || ',' || lpad((id % 12)::VARCHAR, 2, '0') || ',1.5,' || (id % 500) || '.0,M,-34.0,M,,' AS body FROM
+    (SELECT id, lat, lon, id * 7 % 86400 AS s, round(abs(lat) * 6000000)::BIGINT AS u_lat, round(abs(lon) * 6000000)::BIGINT AS u_lon FROM {POINTS_SQL}))"""
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 'a \"b\"| c,' || c_custkey AS note FROM customer"),
     "csv_maps": (csv_maps, "SELECT n_nationkey::BIGINT AS k, n_name AS name, 'n_name,n_nationkey,n_regionkey' AS keys FROM nation"),
     "tokenizer": (tokenizer, "SELECT c_custkey, 3::BIGINT AS n, '\"x;y,' || c_custkey || '\"' AS second, c_mktsegment AS third FROM customer"),
-    "nmea_build": (nmea_build, None),
+    "nmea_build": (nmea_build, _GGA_SQL),
     "nmea_roundtrip": (nmea_roundtrip, f"""SELECT id, true AS checksum_ok, id * 7 % 86400 AS seconds, round(sign(lat) * round(abs(lat) * 6000000) / 6000000, 5) AS lat, round(sign(lon) * round(abs(lon) * 6000000) / 6000000, 5) AS lon,
         (['invalid', 'gps', 'dgps'])[(id % 3 + 1)::INT] AS quality, (id % 12)::INT AS satellites, 1.5::DOUBLE AS hdop, (id % 500)::DOUBLE AS altitude FROM {POINTS_SQL}"""),
     "nmea_fixes": (nmea_fixes, "SELECT id, zda FROM (SELECT o_orderkey AS id, last_value(CASE WHEN o_orderkey % 10 = 0 THEN 1704067200 + o_orderkey * 10 END IGNORE NULLS) OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS zda FROM orders) WHERE id % 10 <> 0"),

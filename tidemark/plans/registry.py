@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stats", "series", "calendar", "text", "geo", "io", "coding")
+MODULES = ("stats", "series", "calendar", "text", "geo", "io", "coding", "positions")
 
 
 def _all() -> dict:

@@ -35,10 +35,18 @@ def degrees(value: Column, half: Column) -> Column:
     return (F.floor(v / 100) + (v - F.floor(v / 100) * 100) / 60) * F.when(half.isin("S", "W"), -1).otherwise(1)
 
 
+def filled(form: str, *values: Column) -> Column:
+    """Values in a format; null, an empty field of a sentence, if one of them is null."""
+    known = F.lit(True)
+    for v in values:
+        known = known & v.isNotNull()
+    return F.when(known, F.format_string(form, *values))
+
+
 def to_degrees_minutes(v: Column, digits: int) -> Column:
     """Degrees to ddmm.mmmmm with so many digits of degrees; hundred-thousandths of minutes are rounded first, so that 60 never appears."""
     units = F.round(F.abs(v) * 6_000_000).cast("long")
-    return F.format_string(f"%0{digits}d%02d.%05d", F.floor(units / 6_000_000).cast("long"), F.floor(units / 100_000).cast("long") % 60, units % 100_000)
+    return filled(f"%0{digits}d%02d.%05d", F.floor(units / 6_000_000).cast("long"), F.floor(units / 100_000).cast("long") % 60, units % 100_000)
 
 
 def day_seconds(value: Column) -> Column:
@@ -49,11 +57,12 @@ def day_seconds(value: Column) -> Column:
 
 
 def build_gga(seconds: Column, lat: Column, lon: Column, quality: Column, satellites: Column, hdop: Column, altitude: Column, geoid: Column) -> Column:
+    """A GGA sentence; a null is an empty field."""
     s = seconds.cast("long")
-    time = F.format_string("%02d%02d%02d.00", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
-    lat_half, lon_half = F.when(lat < 0, "S").otherwise("N"), F.when(lon < 0, "W").otherwise("E")
-    fields = [F.lit("GPGGA"), time, to_degrees_minutes(lat, 2), lat_half, to_degrees_minutes(lon, 3), lon_half, quality.cast("string"), F.lpad(satellites.cast("string"), 2, "0"), F.format_string("%.1f", hdop), F.format_string("%.1f", altitude), F.lit("M"), F.format_string("%.1f", geoid), F.lit("M"), F.lit(""), F.lit("")]
-    return sentence(F.concat_ws(",", *fields))
+    time = filled("%02d%02d%02d.00", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
+    lat_half, lon_half = F.when(lat < 0, "S").when(lat >= 0, "N"), F.when(lon < 0, "W").when(lon >= 0, "E")
+    fields = [F.lit("GPGGA"), time, to_degrees_minutes(lat, 2), lat_half, to_degrees_minutes(lon, 3), lon_half, quality.cast("string"), F.lpad(satellites.cast("string"), 2, "0"), filled("%.1f", hdop), filled("%.1f", altitude), F.lit("M"), filled("%.1f", geoid), F.lit("M"), F.lit(""), F.lit("")]
+    return sentence(F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]))
 
 
 def build_command(kind: str, *fields: Column) -> Column:
