@@ -195,7 +195,7 @@ def coded_series(spark, sf_dir):
 
 
 _DM = lambda v, d: f"printf('%0{d}d%02d.%05d', u_{v} // 6000000, u_{v} // 100000 % 60, u_{v} % 100000)"
-_GGA_SQL = f"""SELECT id, length(body) + 4::BIGINT AS length, printf('%02X', list_reduce(list_transform(range(1, length(body) + 1), i -> ascii(body[i])::BIGINT), (x, y) -> xor(x, y))) AS sum, left('$' || body, 13) AS head FROM
+_GGA_SQL = f"""SELECT id, length(body) + 4::BIGINT AS length, printf('%02X', list_reduce(list_transform(range(1, length(body) + 1), lambda i: ascii(body[i])::BIGINT), lambda x, y: xor(x, y))) AS sum, left('$' || body, 13) AS head FROM
     (SELECT id, 'GPGGA,' || printf('%02d%02d%02d.00', s // 3600, s // 60 % 60, s % 60) || ',' || {_DM('lat', 2)} || CASE WHEN lat < 0 THEN ',S,' ELSE ',N,' END || {_DM('lon', 3)} || CASE WHEN lon < 0 THEN ',W,' ELSE ',E,' END
       || (id % 3) || ',' || lpad((id % 12)::VARCHAR, 2, '0') || ',1.5,' || (id % 500) || '.0,M,-34.0,M,,' AS body FROM
     (SELECT id, lat, lon, id * 7 % 86400 AS s, round(abs(lat) * 6000000)::BIGINT AS u_lat, round(abs(lon) * 6000000)::BIGINT AS u_lon FROM {POINTS_SQL}))"""
