@@ -158,13 +158,31 @@ def alpha_beta_gamma(spark, sf_dir):
 
 def window_slope_filter(spark, sf_dir):
     """S-25, Q8: slope a day, emitted as the data fill the window."""
-    return T.folded(events(spark, sf_dir), "user_id", "us", "value", partial(T.slope_step, window_us=DAY), "at_us long, slope double, n long")
+    d = T.folded(events(spark, sf_dir), "user_id", "us", "value", partial(T.slope_step, window_us=DAY), "at_us long, slope double, n long")
+    return d.select("user_id", "at_us", r6(F.col("slope"), "slope", 9), "n")
 
 
 def timed_window_filter(spark, sf_dir):
     """S-23, Q7: smoothing kernel over the gathered samples."""
     step = partial(T.kernel_step, window_us=DAY, minimum=5, kernel=lambda n: K.savitzky_golay(n, 2))
-    return T.folded(events(spark, sf_dir), "user_id", "us", "value", step, "at_us long, value double, n long")
+    d = T.folded(events(spark, sf_dir), "user_id", "us", "value", step, "at_us long, value double, n long")
+    return d.select("user_id", "at_us", r6(F.col("value"), "value"), "n")
+
+
+def _gathering_sql(keep_us: int, full: str, result: str) -> str:
+    """A user's samples gathered in order of time, one a time, until `full` holds of them (h) and the last time; then `result` of them
+    by place i of n, time t and value x."""
+    return f"""WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) AS us, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM events),
+      f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS us, []::STRUCT(t BIGINT, x DOUBLE)[] AS h, false AS done FROM events
+            UNION ALL
+            SELECT user_id, k, us, h, {full} FROM (SELECT s.user_id, s.k, s.us, list_append(list_filter(CASE WHEN f.done THEN [] ELSE f.h END, lambda p: p.t <> s.us AND p.t >= s.us - {keep_us}), {{'t': s.us, 'x': s.v}}) AS h FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)),
+      g AS (SELECT user_id, us, len(h) AS n, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS p FROM f WHERE done)
+      SELECT user_id, us - {DAY // 2} AS at_us, {result}, n FROM (SELECT *, p.t AS t, p.x AS x FROM g) GROUP BY user_id, us, n"""
+
+
+SLOPE_SQL = _gathering_sql(DAY, f"us - h[1].t >= {DAY * 95 // 100} AND len(h) > 1", "round(regr_slope(x, (t - us) / 1e6::DOUBLE), 9) AS slope")
+#: The quadratic's smoothing weights in closed form; they sum to 1.
+KERNEL_SQL = _gathering_sql(2 * DAY, f"us - h[1].t > {DAY} AND len(h) >= 5 AND len(h) % 2 = 1", "round(sum(x * 3 * ((3 * n * n - 7) / 4.0::DOUBLE - 5 * (i - (n + 1) / 2.0::DOUBLE) * (i - (n + 1) / 2.0::DOUBLE)) / (n * (n * n - 4))), 6) AS value")
 
 
 def lttb(spark, sf_dir):
@@ -209,8 +227,8 @@ QUERIES = {
     "pyramid": (pyramid, "SELECT level, epoch_us(ts) >> level::INTEGER AS cell, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM events, (VALUES (30::BIGINT), (34), (38)) t(level) GROUP BY 1, 2"),
     "alpha_beta": (alpha_beta, ALPHA_BETA_SQL),
     "alpha_beta_gamma": (alpha_beta_gamma, ALPHA_BETA_GAMMA_SQL),
-    "window_slope_filter": (window_slope_filter, None),
-    "timed_window_filter": (timed_window_filter, None),
+    "window_slope_filter": (window_slope_filter, SLOPE_SQL),
+    "timed_window_filter": (timed_window_filter, KERNEL_SQL),
     "lttb": (lttb, None),
     "chunked": (chunked, """SELECT user_id, chunk, count(*) AS n, arg_min(value, k) AS first, arg_max(value, k) AS last FROM
         (SELECT user_id, value, k, (k - 1) // 10 AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)) GROUP BY user_id, chunk"""),
