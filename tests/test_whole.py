@@ -75,6 +75,29 @@ def test_near_pairs(spark, tmp_path):
     assert got == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(a, b)] and (2, ids[-1]) in got
 
 
+def moved(plan):
+    """Rows that a plan's exchanges have shuffled or broadcast."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return moved(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return moved(plan.plan())
+    below, found = plan.children(), plan.metrics().get("shuffleRecordsWritten" if plan.nodeName() == "Exchange" else "numOutputRows")
+    return (found.get().value() if "Exchange" in plan.nodeName() and found.isDefined() else 0) + sum(moved(below.apply(i)) for i in range(below.size()))
+
+
+def test_near_pairs_copies(spark, tmp_path):
+    """Copies at one place are paired, not tested or sent to the neighbours one by one; lists end at their block; no null and no id twice makes a pair."""
+    period = 17000 * 36
+    ids = [k + i * period for k in (1, 2, 3, 36000) for i in [*range(120), 1023, 1024, 5000]] + [None, None, 7, 7]
+    spark.createDataFrame([(k,) for k in ids], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    df = registry.queries()["near_pairs"](spark, str(tmp_path))
+    got = sorted((r.a, r.b) for r in df.collect())
+    near = lambda a, b: (place(a)[0] - place(b)[0]) ** 2 + (place(a)[1] - place(b)[1]) ** 2 <= 9
+    known = sorted(k for k in ids if k is not None)
+    assert got == [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if a < b and near(a, b)] and (1, 1 + 5000 * period) in got
+    assert moved(df._jdf.queryExecution().executedPlan()) < 3 * len(ids)
+
+
 def test_tile_cover(spark, tmp_path):
     from math import asinh, floor, pi, radians, tan
 
