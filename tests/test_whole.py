@@ -98,6 +98,31 @@ def test_near_pairs_copies(spark, tmp_path):
     assert moved(df._jdf.queryExecution().executedPlan()) < 3 * len(ids)
 
 
+def nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return nodes(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return nodes(plan.plan())
+    below = plan.children()
+    return [plan] + [x for i in range(below.size()) for x in nodes(below.apply(i))]
+
+
+def test_near_pairs_once(spark, tmp_path):
+    """A pair is made once, not in both orders, and the generated code that holds the pairs of an input row starts from two places, not from two cells."""
+    period = 17000 * 36
+    ids = [k for k in range(period) if max(map(abs, place(k))) < 2]
+    ids += [k + period for k in ids] + [ids[0] + i * period for i in (127, 128, 129)]
+    spark.createDataFrame([(k,) for k in ids], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    df = registry.queries()["near_pairs"](spark, str(tmp_path))
+    got = sorted((r.a, r.b) for r in df.collect())
+    near = lambda a, b: (place(a)[0] - place(b)[0]) ** 2 + (place(a)[1] - place(b)[1]) ** 2 <= 9
+    assert got == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(a, b)] and len(got) > 20 * len(ids)
+    plan = nodes(df._jdf.queryExecution().executedPlan())
+    names, made = [x.nodeName() for x in plan], [x.metrics().get("numOutputRows").get().value() for x in plan if x.nodeName() == "Generate"]
+    assert made[0] <= len(got) + 2 * len(ids)
+    assert "Coalesce" in names[: names.index("SortMergeJoin")]
+
+
 def test_tile_cover(spark, tmp_path):
     from math import asinh, floor, pi, radians, tan
 
